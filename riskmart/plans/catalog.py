@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskmart.plans import q_features  # noqa: F401
+from riskmart.plans import q_features, q_metrics  # noqa: F401
 from riskmart.plans.registry import ORACLES, QUERIES
 
 
