@@ -86,9 +86,25 @@ SELECT user_id AS SK_ID_CURR, user_id * 10 + event_id % 2 AS SK_ID_PREV, -(event
     "scored_events": """
 SELECT event_id AS id, CASE WHEN event_type = 'error' OR value > 2e2 THEN 1 ELSE 0 END AS label,
  round(1e0 - exp(-value / 1e2), 2) AS score FROM events
+""",
+    # Scoring requests (one per applicant) derived from the application view: amounts and scores as
+    # they are, whole years of age, tenure 0 for the employment sentinel, categories by id modulo
+    # the enum length.
+    "requests": """
+SELECT SK_ID_CURR AS id, AMT_INCOME_TOTAL AS amt_income_total, AMT_CREDIT AS amt_credit, AMT_ANNUITY AS amt_annuity,
+ EXT_SOURCE_2 AS ext_source_2, EXT_SOURCE_3 AS ext_source_3, CAST(floor(-DAYS_BIRTH / 365e0) AS INT) AS age_years,
+ CASE WHEN DAYS_EMPLOYED = 365243 THEN 0e0 ELSE -DAYS_EMPLOYED / 365e0 END AS employed_years, CODE_GENDER AS code_gender,
+ CASE SK_ID_CURR % 5 WHEN 0 THEN 'Commercial associate' WHEN 1 THEN 'Pensioner' WHEN 2 THEN 'State servant' WHEN 3 THEN 'Unemployed' ELSE 'Working' END AS name_income_type,
+ CASE SK_ID_CURR % 5 WHEN 0 THEN 'Academic degree' WHEN 1 THEN 'Higher education' WHEN 2 THEN 'Incomplete higher' WHEN 3 THEN 'Lower secondary' ELSE 'Secondary / secondary special' END AS name_education_type,
+ CASE SK_ID_CURR % 5 WHEN 0 THEN 'Civil marriage' WHEN 1 THEN 'Married' WHEN 2 THEN 'Separated' WHEN 3 THEN 'Single / not married' ELSE 'Widow' END AS name_family_status,
+ CASE SK_ID_CURR % 6 WHEN 0 THEN 'Co-op apartment' WHEN 1 THEN 'House / apartment' WHEN 2 THEN 'Municipal apartment' WHEN 3 THEN 'Office apartment' WHEN 4 THEN 'Rented apartment' ELSE 'With parents' END AS name_housing_type
+ FROM application
 """,
 }
 
+# Adapters built on other adapters (registered as views first; emitted first in CTEs).
+ADAPTER_DEPS = {"requests": ("application",)}
+
 # Which base tables each adapter reads (others are not scanned).
 ADAPTER_INPUTS = {
     "application": ("customer",),
@@ -99,6 +115,7 @@ ADAPTER_INPUTS = {
     "pos_cash": ("events",),
     "credit_card": ("events",),
     "scored_events": ("events",),
+    "requests": ("customer",),
 }
 
 LOAN_TABLES = ("application", "bureau", "bureau_balance", "previous",
@@ -113,6 +130,8 @@ def register_base_views(spark: SparkSession, sf_dir: str, names=BASE_TABLES) ->
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One adapter view as a lazy DataFrame over the parquet files in ``sf_dir``."""
     register_base_views(spark, sf_dir, ADAPTER_INPUTS[name])
+    for dep in ADAPTER_DEPS.get(name, ()):
+        spark.sql(ADAPTER_SQL[dep]).createOrReplaceTempView(dep)
     return spark.sql(ADAPTER_SQL[name])
 
 
@@ -123,6 +142,22 @@ def loan_tables(spark: SparkSession, sf_dir: str, names=LOAN_TABLES) -> dict[str
 
 def cte(*names: str, extra: tuple[tuple[str, str], ...] = ()) -> str:
     """``WITH`` clause carrying the adapter statements (plus extra named statements) for oracle SQL."""
-    parts = [f"{n} AS ({ADAPTER_SQL[n].strip()})" for n in names]
+    ordered: list[str] = []
+    for n in names:
+        for dep in ADAPTER_DEPS.get(n, ()):
+            if dep not in ordered:
+                ordered.append(dep)
+        if n not in ordered:
+            ordered.append(n)
+    parts = [f"{n} AS ({ADAPTER_SQL[n].strip()})" for n in ordered]
     parts += [f"{n} AS ({sql.strip()})" for n, sql in extra]
     return "WITH " + ",\n".join(parts) + "\n"
+
+
+def adapter_columns(name: str) -> list[str]:
+    """Output column names of an adapter statement (from its ``AS name`` aliases)."""
+    import re
+
+    body = ADAPTER_SQL[name]
+    names = re.findall(r"\bAS\s+([A-Za-z_][A-Za-z0-9_]*)", body)
+    return [n for n in names if n.upper() not in ("INT", "BIGINT", "DOUBLE", "VARCHAR")]
