@@ -41,7 +41,11 @@ def _spec(groups: list[str]):
 
 
 def _join_small(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Join a bounded side table; broadcast only after checking its row count."""
+    """Join a bounded side table; broadcast only after checking its row count.
+
+    The side table is persisted before the check, so the pass that builds it (one aggregate over
+    the data) runs once and the main plan reads the small cached result."""
+    small = small.persist()
     n = small.count()
     side = F.broadcast(small) if n <= BROADCAST_ROW_LIMIT else small
     return big.join(side, on, "inner")
