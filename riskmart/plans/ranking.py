@@ -51,17 +51,33 @@ def _join_small(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
     return big.join(side, on, "inner")
 
 
-def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], bucket: Column,
+def adaptive_buckets(df: DataFrame, col: str, n_buckets: int = 1 << 12, out_col: str = "_bkt") -> DataFrame:
+    """Add a monotone bucket column whose buckets hold about equal numbers of rows.
+
+    Boundaries are approximate quantiles of ``col`` (a bounded-memory sketch, one aggregate), so no
+    bucket can collect most rows even when the values crowd into a narrow range; the assignment is
+    a binary search per row (Bucketizer, JVM side)."""
+    from pyspark.ml.feature import Bucketizer
+
+    probs = [i / n_buckets for i in range(1, n_buckets)]
+    qs = df.select(F.col(col).cast("double").alias(col)).approxQuantile(col, probs, 1.0 / (4 * n_buckets))
+    splits = [float("-inf")] + sorted({float(q) for q in qs if q is not None}) + [float("inf")]
+    bk = Bucketizer(splits=splits, inputCol=col, outputCol=out_col, handleInvalid="keep")
+    return bk.transform(df.withColumn(col, F.col(col).cast("double"))).withColumn(out_col, F.col(out_col).cast("int"))
+
+
+def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], bucket: Column | None = None,
                    descending: bool = True, groups: Sequence[str] = (),
                    suffix: str = "_cum") -> DataFrame:
     """Add ``<v><suffix>`` = sum of ``v`` over rows ordered at or before this row.
 
     ``descending=True`` accumulates from the largest ``order_col`` down (rows with a larger value
     come first). ``order_col`` must be unique within each group (pre-aggregate ties first), and
-    ``bucket`` must be monotone non-decreasing in ``order_col``.
+    ``bucket`` must be monotone non-decreasing in ``order_col``; without it, balanced buckets come
+    from :func:`adaptive_buckets`.
     """
     g = list(groups)
-    tagged = df.withColumn("_bkt", bucket)
+    tagged = adaptive_buckets(df, order_col) if bucket is None else df.withColumn("_bkt", bucket)
     totals = tagged.groupBy(*g, "_bkt").agg(*[F.sum(v).alias(f"_t_{v}") for v in value_cols])
     border = F.col("_bkt").desc() if descending else F.col("_bkt").asc()
     before = _spec(g).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)

@@ -109,3 +109,18 @@ def test_rank_within_matches_row_number(spark):
     m = out.merge(exp, on="id")
     assert (m["rank"] == m["r"]).all()
     assert (m["n"] == m["g_x"].map(pdf["g"].value_counts())).all()
+
+
+def test_running_totals_adaptive_buckets_crowded_scores(spark):
+    """Scores crowded into a tiny range still get balanced buckets and exact sums."""
+    rng = np.random.default_rng(2)
+    v = 0.5 + rng.random(3000) * 1e-7
+    pdf = pd.DataFrame({"v": v, "w": rng.integers(0, 3, 3000)}).drop_duplicates("v")
+    df = spark.createDataFrame(pdf)
+    tagged = RK.adaptive_buckets(df, "v", n_buckets=64)
+    sizes = [r[1] for r in tagged.groupBy("_bkt").count().collect()]
+    assert len(sizes) > 32 and max(sizes) < len(pdf) / 8
+    out = RK.running_totals(df, "v", ["w"], descending=True).toPandas()
+    exp = pdf.sort_values("v", ascending=False).assign(c=lambda d: d["w"].cumsum())
+    m = out.merge(exp, on="v")
+    assert (m["w_cum"] == m["c"]).all()
