@@ -132,3 +132,31 @@ def test_tree_shap_equals_brute_force_shapley(frame):
     for t, w in zip(trees, weights):
         TA._tree_shap(t, x, Z, phi, float(w))
     assert np.allclose(phi, brute, atol=1e-12)
+
+
+def test_load_config(scratch):
+    from riskmart.operators import training as TR
+
+    p = f"{scratch}/cfg.yaml"
+    with open(p, "w") as fh:
+        fh.write("cv:\n  n_splits: 3\n  random_state: 7\nrandom_forest:\n  n_estimators: 20\n"
+                 "threshold:\n  beta: 2.0\n  min_recall: 0.7\n")
+    cfg, doc = TR.load_config(p)
+    assert cfg.n_folds == 3 and cfg.seed == 7 and cfg.rf_trees == 20 and cfg.lr_c == 0.01
+    assert doc["threshold"]["min_recall"] == 0.7
+
+
+def test_hot_applicant_pack_and_plan(spark):
+    """One applicant holds a third of the rows: results stay exact and the plan pre-aggregates
+    map-side (partial HashAggregate below the shuffle)."""
+    from riskmart.operators import packs as P
+
+    rows = [(1 if i % 3 == 0 else 1000 + i, i, float(i % 50), float(i % 7)) for i in range(30000)]
+    df = spark.createDataFrame(rows, "SK_ID_CURR long, SK_ID_PREV long, DAYS_INSTALMENT double, DAYS_ENTRY_PAYMENT double")
+    df = (df.withColumn("AMT_INSTALMENT", F.lit(10.0)).withColumn("AMT_PAYMENT", F.lit(9.0))
+          .withColumn("NUM_INSTALMENT_VERSION", F.lit(1.0)).repartition(8))
+    out = P.installment_features(df)
+    hot = out.where("SK_ID_CURR = 1").first()
+    assert hot["INSTAL_COUNT"] == 10000 and hot["INSTAL_NUM_UNIQUE_LOANS"] == 10000
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert "partial_count" in plan or "Partial" in plan
