@@ -35,8 +35,11 @@ def background_means(df: DataFrame, features: Sequence[str], fill: float = 0.0)
 
 
 def background_sample(df: DataFrame, id_col: str, n: int = BACKGROUND_ROWS, seed: int = 42) -> DataFrame:
-    """X-1: a reproducible n-row background sample (smallest hash of the id; a sampling operator)."""
-    return df.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), F.col(id_col)).limit(n)
+    """X-1: a reproducible n-row background sample - the n smallest id hashes (a sampling operator;
+    Spark plans it as a per-partition top-n, so only n rows per task move)."""
+    from riskmart.operators.splits import hash32
+
+    return df.orderBy(hash32(id_col, seed), F.col(id_col)).limit(n)
 
 
 def linear_contributions(df: DataFrame, coefficients: Mapping[str, float], intercept: float, id_col: str,

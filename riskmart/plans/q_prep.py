@@ -170,3 +170,18 @@ _DUMMIES = ([("CODE_GENDER", v) for v in ("M", "XNA")] + [("FLAG_OWN_CAR", "Y"),
 def one_hot_drop_first(spark, sf_dir):
     df = _app(spark, sf_dir).select("SK_ID_CURR", "CODE_GENDER", "FLAG_OWN_CAR", "FLAG_OWN_REALTY", "OCCUPATION_TYPE")
     return tidy(R.one_hot_drop_first(df))
+
+
+_DEV_RANKED = f"""SELECT SK_ID_CURR, TARGET, row_number() OVER (PARTITION BY TARGET ORDER BY
+ (xor(SK_ID_CURR, {S.SEED + 1}) * 2654435761) % 4294967296, SK_ID_CURR) AS rn2, count(*) OVER (PARTITION BY TARGET) AS n2
+ FROM ({_SPLIT}) s WHERE split = 'train'"""
+
+
+@query("validation_indicator", norm_sql(
+    f"SELECT SK_ID_CURR, TARGET, CASE WHEN rn2 <= round(1e-1 * n2) THEN 1 ELSE 0 END AS is_validation FROM ({_DEV_RANKED}) d",
+    ints=["SK_ID_CURR", "TARGET", "is_validation"], prefix=_APP))
+def validation_indicator(spark, sf_dir):
+    """T-3: a stratified 10 % of the development rows marked for early stopping (second seed)."""
+    dev = S.stratified_split(_app(spark, sf_dir).select("SK_ID_CURR", "TARGET")).where(F.col("split") == "train")
+    out = S.validation_indicator(dev.drop("split"))
+    return tidy(out.select("SK_ID_CURR", "TARGET", F.col("is_validation").cast("int").alias("is_validation")))

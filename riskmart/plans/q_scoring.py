@@ -405,3 +405,13 @@ def model_comparison(spark, sf_dir):
                               strs=["model"], dbls=["cv_auc_mean"], prefix=f"WITH {_FOLD_SCORES[0]} AS ({_FOLD_SCORES[1]})\n"))
 def best_model(spark, sf_dir):
     return tidy(TR.best_of(TR.comparison_table(_fold_scores(spark, sf_dir))).select("model", "cv_auc_mean"))
+
+
+@query("background_sample", norm_sql(
+    f"SELECT SK_ID_CURR, EXT_SOURCE_MEAN, AGE_YEARS FROM appf ORDER BY (xor(SK_ID_CURR, 42) * 2654435761) % 4294967296, "
+    f"SK_ID_CURR LIMIT {AT.BACKGROUND_ROWS}", ints=["SK_ID_CURR"], dbls=["EXT_SOURCE_MEAN", "AGE_YEARS"],
+    prefix=A.cte("application", extra=(("appf", APPLICATION_SQL),))))
+def background_sample(spark, sf_dir):
+    """X-1: the reproducible 100-row background set for attribution."""
+    feats = P.application_features(_t(spark, sf_dir, "application"))
+    return tidy(AT.background_sample(feats, "SK_ID_CURR").select("SK_ID_CURR", "EXT_SOURCE_MEAN", "AGE_YEARS"))

@@ -2,8 +2,8 @@
 
 The same SQL text runs in Spark SQL and in DuckDB (double literals are written in exponent form so
 both engines type them as DOUBLE). Oracle queries embed these statements as CTEs; the Spark side
-registers them as temporary views over the parquet scans, so column pruning and filter pushdown
-still reach the parquet reader.
+binds the parquet scans as DataFrame arguments of ``spark.sql``, so column pruning and filter
+pushdown still reach the parquet reader and no session view is created.
 
 The modulo conditions below shape the data (they create applicants without each kind of history,
 NULLs, sentinels and zero denominators); they are not row caps - every view reads its whole table.
@@ -122,22 +122,31 @@ LOAN_TABLES = ("application", "bureau", "bureau_balance", "previous",
                "installments", "pos_cash", "credit_card")
 
 
-def register_base_views(spark: SparkSession, sf_dir: str, names=BASE_TABLES) -> None:
-    for name in names:
-        spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet").createOrReplaceTempView(name)
+def _base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+
+
+def _parameterised(sql: str) -> str:
+    """``FROM t`` / ``JOIN t`` -> ``FROM {t}`` so the statement binds DataFrames, not session views."""
+    import re
+
+    names = "|".join(list(BASE_TABLES) + list(ADAPTER_SQL))
+    return re.sub(rf"\b(FROM|JOIN)\s+({names})\b", r"\1 {\2}", sql)
 
 
 def adapter(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One adapter view as a lazy DataFrame over the parquet files in ``sf_dir``."""
-    register_base_views(spark, sf_dir, ADAPTER_INPUTS[name])
+    """One adapter view as a lazy DataFrame over the parquet files in ``sf_dir``.
+
+    The SQL text is bound to DataFrame arguments (``spark.sql(text, **frames)``), so nothing is
+    registered in the session catalog and two folders can be used side by side."""
+    frames = {t: _base(spark, sf_dir, t) for t in ADAPTER_INPUTS[name]}
     for dep in ADAPTER_DEPS.get(name, ()):
-        spark.sql(ADAPTER_SQL[dep]).createOrReplaceTempView(dep)
-    return spark.sql(ADAPTER_SQL[name])
+        frames[dep] = adapter(spark, sf_dir, dep)
+    return spark.sql(_parameterised(ADAPTER_SQL[name]), **frames)
 
 
 def loan_tables(spark: SparkSession, sf_dir: str, names=LOAN_TABLES) -> dict[str, DataFrame]:
-    register_base_views(spark, sf_dir)
-    return {n: spark.sql(ADAPTER_SQL[n]) for n in names}
+    return {n: adapter(spark, sf_dir, n) for n in names}
 
 
 def cte(*names: str, extra: tuple[tuple[str, str], ...] = ()) -> str:
