@@ -160,3 +160,16 @@ def test_hot_applicant_pack_and_plan(spark):
     assert hot["INSTAL_COUNT"] == 10000 and hot["INSTAL_NUM_UNIQUE_LOANS"] == 10000
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "partial_count" in plan or "Partial" in plan
+
+
+def test_vector_contributions_match_fitted_logistic_margin(frame):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import vector_to_array
+
+    lr = LogisticRegression(regParam=0.01, maxIter=50).fit(frame)
+    contrib = AT.vector_contributions(frame, "features", ["a", "b", "c", "d"], lr.coefficients.toArray().tolist(),
+                                      float(lr.intercept), "id")
+    ours = {r[0]: r[1] for r in contrib.groupBy("id").agg(F.first("margin")).collect()}
+    raw = {r[0]: r[1] for r in lr.transform(frame).select("id", vector_to_array("rawPrediction")[1]).collect()}
+    assert all(abs(ours[k] - raw[k]) < 1e-9 for k in raw)
+    assert AT.completeness_gap(contrib).agg(F.max("gap")).first()[0] < 1e-9
