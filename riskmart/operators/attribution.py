@@ -47,7 +47,8 @@ def linear_contributions(df: DataFrame, coefficients: Mapping[str, float], inter
     """X-2 (linear, exact): long table ``(id, feature, value, contribution, base_value, margin)``."""
     feats = list(coefficients)
     if background is None and not df.storageLevel.useMemory and not df.storageLevel.useDisk:
-        df = df.persist()  # read twice: the expectation pass and the contribution pass
+        # read twice (expectation pass, contribution pass): keep only the needed columns cached
+        df = df.select(id_col, *[c for c in feats if c in df.columns]).persist()
     means = background_means(background if background is not None else df, feats, fill)
     base = float(intercept) + sum(coefficients[f] * means[f] for f in feats)
     margin = F.lit(float(intercept))
