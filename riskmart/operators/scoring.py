@@ -7,7 +7,6 @@ recommendation, affordability ratios and rule-based risk drivers.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -141,7 +140,3 @@ def risk_drivers(requests: DataFrame, keep: Sequence[str] = ("id",)) -> DataFram
     names = [F.when(cond, F.lit(name)) for name, cond in rules]
     n = reduce(lambda a, b: a + b, [X.flag(cond) for _, cond in rules])
     return requests.select(*[F.col(k) for k in keep], n.alias("n_drivers"), F.concat_ws("; ", *names).alias("drivers"))
-
-
-def logit(p: float) -> float:
-    return math.log(p / (1 - p))
