@@ -10,8 +10,8 @@ gives the interventional values; they add up to f(x) - mean f(z) exactly.
 
 Distribution: the node tables come from the saved model (bounded by trees x 2^(depth+1) nodes) and
 the background is a bounded sample (100 rows); both travel with the task closure. The rows to
-explain are processed by ``mapInPandas`` - partition by partition, vectorised over the background
-rows - so the work spreads over the cluster like any other projection.
+explain are processed by ``mapInPandas``; each Arrow batch shares one traversal per tree, vectorised
+over (row, background row) pairs, so the work spreads over the cluster like any other projection.
 """
 
 from __future__ import annotations
@@ -71,56 +71,76 @@ def tree_tables(model, kind: str) -> tuple[list[dict], np.ndarray]:
 
 
 def _predict_tree(t: dict, X: np.ndarray) -> np.ndarray:
-    out = np.empty(X.shape[0])
-    for r in range(X.shape[0]):
-        i = t["root"]
-        while t["left"][i] >= 0:
-            i = t["left"][i] if X[r, t["feature"][i]] <= t["threshold"][i] else t["right"][i]
-        out[r] = t["value"][i]
-    return out
+    """Leaf value for every row: all rows descend one level per step (vectorised)."""
+    idx = np.full(X.shape[0], t["root"], dtype=np.int64)
+    rows = np.arange(X.shape[0])
+    while True:
+        inner = t["left"][idx] >= 0
+        if not inner.any():
+            return t["value"][idx]
+        f = np.where(inner, t["feature"][idx], 0)
+        go_left = X[rows, f] <= t["threshold"][idx]
+        idx = np.where(inner, np.where(go_left, t["left"][idx], t["right"][idx]), idx)
 
 
 def _tree_shap(t: dict, x: np.ndarray, Z: np.ndarray, phi: np.ndarray, scale: float) -> None:
     """Add scale * mean over background rows of the baseline Shapley values of tree t at x."""
+    out = np.zeros((1, phi.shape[0]))
+    _tree_shap_batch(t, x[None, :], Z, out, scale)
+    phi += out[0]
+
+
+def _tree_shap_batch(t: dict, X: np.ndarray, Z: np.ndarray, phi: np.ndarray, scale: float) -> None:
+    """Batch form: ``phi[r]`` += scale * mean over background rows of the Shapley values of row r.
+
+    The traversal is shared by all (row, background) pairs: a recursion state is (node, x-set,
+    z-set) and carries the boolean matrix of pairs whose paths reach it, so one walk of the tree
+    serves a whole batch."""
     nz = Z.shape[0]
     feat, thr, left, right, value = t["feature"], t["threshold"], t["left"], t["right"], t["value"]
 
     def rec(node: int, mask: np.ndarray, sx: tuple, sz: tuple) -> None:
-        cnt = int(mask.sum())
-        if cnt == 0:
+        if not mask.any():
             return
         if left[node] < 0:
             a, b = len(sx), len(sz)
-            v = value[node] * scale * cnt / nz
+            share = mask.sum(axis=1) * (value[node] * scale / nz)
             if a:
-                w = _weight(a - 1, b)
+                w = share * _weight(a - 1, b)
                 for f in sx:
-                    phi[f] += v * w
+                    phi[:, f] += w
             if b:
-                w = _weight(a, b - 1)
+                w = share * _weight(a, b - 1)
                 for f in sz:
-                    phi[f] -= v * w
+                    phi[:, f] -= w
             return
         f = feat[node]
-        go_left_x = x[f] <= thr[node]
-        cx = left[node] if go_left_x else right[node]
-        other = right[node] if go_left_x else left[node]
-        if f in sx:
-            rec(cx, mask, sx, sz)
+        xl = (X[:, f] <= thr[node])[:, None]
+        zl = (Z[:, f] <= thr[node])[None, :]
+        lft, rgt = left[node], right[node]
+        if f in sx:      # feature already taken from x: follow x
+            rec(lft, mask & xl, sx, sz)
+            rec(rgt, mask & ~xl, sx, sz)
             return
-        zl = Z[:, f] <= thr[node]
-        agree = mask & (zl == go_left_x)
-        differ = mask & (zl != go_left_x)
-        if f in sz:
-            rec(cx, agree, sx, sz)
-            rec(other, differ, sx, sz)
+        if f in sz:      # feature already taken from z: follow z
+            rec(lft, mask & zl, sx, sz)
+            rec(rgt, mask & ~zl, sx, sz)
             return
-        rec(cx, agree, sx, sz)
+        rec(lft, mask & xl & zl, sx, sz)          # both go left
+        rec(rgt, mask & ~xl & ~zl, sx, sz)        # both go right
+        differ = mask & (xl != zl)
         if differ.any():
-            rec(cx, differ, sx + (f,), sz)
-            rec(other, differ, sx, sz + (f,))
+            sx2, sz2 = sx + (f,), sz + (f,)
+            rec(lft, differ & xl, sx2, sz)        # follow x where x goes left
+            rec(rgt, differ & ~xl, sx2, sz)       # follow x where x goes right
+            rec(lft, differ & zl, sx, sz2)        # follow z where z goes left
+            rec(rgt, differ & ~zl, sx, sz2)       # follow z where z goes right
+
+    rec(t["root"], np.ones((X.shape[0], nz), dtype=bool), (), ())
+
 
-    rec(t["root"], np.ones(nz, dtype=bool), (), ())
+def _predict_batch(trees: list[dict], weights: np.ndarray, X: np.ndarray) -> np.ndarray:
+    return sum(float(w) * _predict_tree(t, X) for t, w in zip(trees, weights))
 
 
 def tree_contributions(model, kind: str, rows: DataFrame, background: DataFrame, feature_names: Sequence[str],
@@ -138,20 +158,16 @@ def tree_contributions(model, kind: str, rows: DataFrame, background: DataFrame,
 
     def explain(batches):
         for pdf in batches:
-            ids, feats, contribs, margins = [], [], [], []
-            for rid, vec in zip(pdf["id"], pdf["v"]):
-                x = np.asarray(vec, dtype=float)
-                phi = np.zeros(n_feat)
-                margin = 0.0
-                for t, w in zip(trees, weights):
-                    _tree_shap(t, x, Z, phi, float(w))
-                    margin += float(w) * _predict_tree(t, x[None, :])[0]
-                ids.extend([rid] * n_feat)
-                feats.extend(names)
-                contribs.extend(phi.tolist())
-                margins.extend([margin] * n_feat)
-            yield pd.DataFrame({"id": ids, "feature": feats, "contribution": contribs, "base_value": base,
-                                "margin": margins})
+            if pdf.empty:
+                continue
+            X = np.stack([np.asarray(v, dtype=float) for v in pdf["v"]])
+            phi = np.zeros((X.shape[0], n_feat))
+            for t, w in zip(trees, weights):
+                _tree_shap_batch(t, X, Z, phi, float(w))
+            margin = _predict_batch(trees, weights, X)
+            yield pd.DataFrame({"id": np.repeat(pdf["id"].to_numpy(), n_feat), "feature": names * X.shape[0],
+                                "contribution": phi.reshape(-1), "base_value": base,
+                                "margin": np.repeat(margin, n_feat)})
 
     src = rows.select(F.col(id_col).cast("long").alias("id"), vector_to_array(features_col).alias("v"))
     return src.mapInPandas(explain, "id long, feature string, contribution double, base_value double, margin double")
