@@ -46,32 +46,37 @@ def build_master(tables: dict[str, DataFrame]) -> DataFrame:
 
 
 def no_history(application: DataFrame, history: DataFrame) -> DataFrame:
-    """J-3: applicants without any row in ``history`` (LEFT ANTI join on the key)."""
-    return application.join(history.select(KEY).where(F.col(KEY).isNotNull()), KEY, "left_anti")
+    """J-3: applicants without any row in ``history`` (LEFT ANTI join on the key).
 
+    The history keys are de-duplicated first (partial aggregation in every map task), so an
+    applicant with a huge share of the history rows contributes one row per task to the join."""
+    keys = history.select(KEY).where(F.col(KEY).isNotNull()).distinct()
+    return application.join(keys, KEY, "left_anti")
 
-def history_coverage(tables: dict[str, DataFrame]) -> DataFrame:
+
+HISTORY_TABLES = ("bureau", "previous", "installments", "pos_cash", "credit_card")
+
+
+def history_coverage(tables: dict[str, DataFrame], names=HISTORY_TABLES) -> DataFrame:
     """Per history table: applicants with and without history (one small row per table).
 
-    The distinct applicant ids of each history table are produced by a hash aggregate (partial
-    aggregation first, so a hot applicant is combined map-side); the semi/anti split is a single
-    left join against the application keys and a conditional count.
-    """
-    app_keys = tables["application"].select(KEY)
-    parts = []
-    for name in ("bureau", "previous", "installments", "pos_cash", "credit_card"):
-        seen = tables[name].select(KEY).where(F.col(KEY).isNotNull()).distinct().withColumn("_seen", F.lit(1))
-        joined = app_keys.join(seen, KEY, "left")  # 1 : 0..1, keeps every applicant once
-        parts.append(joined.agg(
-            F.count_if(F.col("_seen").isNotNull()).alias("with_history"),
-            F.count_if(F.col("_seen").isNull()).alias("without_history"),
-            F.count(F.lit(1)).alias("_n"),
-        ).select(F.lit(name).alias("table_name"), "with_history", "without_history",
-                 (F.col("with_history") / F.col("_n")).alias("coverage_ratio")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    One pass: the keys of all history tables are tagged and unioned, reduced to one row per
+    applicant with a presence flag per table (partial aggregation first, so a hot applicant is
+    combined map-side), joined once to the application keys, and counted."""
+    tagged = None
+    for i, name in enumerate(names):
+        part = tables[name].select(KEY, F.lit(i).alias("_t")).where(F.col(KEY).isNotNull())
+        tagged = part if tagged is None else tagged.unionByName(part)
+    flags = tagged.groupBy(KEY).agg(*[F.max(F.when(F.col("_t") == i, 1).otherwise(0)).alias(f"_h{i}")
+                                      for i in range(len(names))])
+    joined = tables["application"].select(KEY).join(flags, KEY, "left")
+    counts = joined.agg(F.count(F.lit(1)).alias("_n"), *[F.count_if(F.col(f"_h{i}") == 1).alias(f"_c{i}")
+                                                          for i in range(len(names))])
+    rows = F.array(*[F.struct(F.lit(name).alias("table_name"), F.col(f"_c{i}").alias("with_history"),
+                              (F.col("_n") - F.col(f"_c{i}")).alias("without_history"),
+                              (F.col(f"_c{i}") / F.col("_n")).alias("coverage_ratio"))
+                     for i, name in enumerate(names)])
+    return counts.select(F.inline(rows))
 
 
 def load_or_build_master(spark: SparkSession, raw_dir: str, cache_path: str, fmt: str = "parquet",
