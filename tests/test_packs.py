@@ -133,3 +133,10 @@ def test_credit_card_zero_denominators(spark):
     assert r["CC_PAYMENT_RATE_MEAN"] == pytest.approx(50 / 501)
     assert 0.0 <= r["CC_UTILIZATION_MAX"] <= 1.0
     assert r["CC_UNIQUE_CARDS"] == 2 and r["CC_SEVERE_DPD_MONTHS"] == 1
+
+
+def test_approximate_distinct_option(installments):
+    exact = {r["SK_ID_CURR"]: r["INSTAL_NUM_UNIQUE_LOANS"] for r in P.INSTALLMENTS.run(installments).collect()}
+    approx = {r["SK_ID_CURR"]: r["INSTAL_NUM_UNIQUE_LOANS"]
+              for r in P.INSTALLMENTS.run(installments, approx_distinct=True).collect()}
+    assert exact == approx  # tiny counts are exact under HLL++
