@@ -31,6 +31,12 @@ def test_tree_contributions_complete(frame, kind):
     contrib = TA.tree_contributions(model, kind, rows, bg, ["a", "b", "c", "d"], "id")
     gaps = AT.completeness_gap(contrib).agg(F.max("gap")).first()[0]
     assert gaps < 1e-9
+    # the boosted margin equals Spark's raw prediction (class-1 side)
+    if kind == "boosted":
+        from pyspark.ml.functions import vector_to_array
+        raw = {r[0]: r[1] for r in model.transform(rows).select("id", vector_to_array("rawPrediction")[1]).collect()}
+        ours = {r[0]: r[1] for r in contrib.groupBy("id").agg(F.first("margin")).collect()}
+        assert all(abs(raw[k] - ours[k]) < 1e-9 for k in raw)
     # the forest's margin equals Spark's own probability of class 1
     if kind == "forest":
         from pyspark.ml.functions import vector_to_array
