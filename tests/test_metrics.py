@@ -124,3 +124,9 @@ def test_running_totals_adaptive_buckets_crowded_scores(spark):
     exp = pdf.sort_values("v", ascending=False).assign(c=lambda d: d["w"].cumsum())
     m = out.merge(exp, on="v")
     assert (m["w_cum"] == m["c"]).all()
+
+
+def test_one_class_input_is_undefined_not_an_error(spark):
+    df = spark.createDataFrame([(0, 0.2), (0, 0.7)], "label int, score double")
+    assert MT.roc_auc(df).first()[0] is None and MT.average_precision(df).first()[0] is None
+    assert MT.optimal_threshold(df).first()["threshold"] == 0.5
