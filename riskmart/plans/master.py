@@ -74,7 +74,7 @@ def history_coverage(tables: dict[str, DataFrame], names=HISTORY_TABLES) -> Data
                                                           for i in range(len(names))])
     rows = F.array(*[F.struct(F.lit(name).alias("table_name"), F.col(f"_c{i}").alias("with_history"),
                               (F.col("_n") - F.col(f"_c{i}")).alias("without_history"),
-                              (F.col(f"_c{i}") / F.col("_n")).alias("coverage_ratio"))
+                              F.try_divide(F.col(f"_c{i}"), F.col("_n")).alias("coverage_ratio"))
                      for i, name in enumerate(names)])
     return counts.select(F.inline(rows))
 
