@@ -70,10 +70,14 @@ def candidates(n_trials: int, space: Sequence[Dim] = BOOSTED_SPACE, seed: int =
     return out
 
 
-def boosted_estimator(p: Mapping[str, float], weight_col: str | None, seed: int = 42) -> GBTClassifier:
+def boosted_estimator(p: Mapping[str, float], weight_col: str | None, seed: int = 42,
+                      validation_col: str | None = "is_validation") -> GBTClassifier:
     """Map a candidate onto Spark's GBT: rounds, depth, step, row sampling, per-node feature share,
-    minimum rows per node, minimum gain. (L1/L2 leaf penalties have no Spark GBT counterpart.)"""
+    minimum rows per node, minimum gain. (L1/L2 leaf penalties have no Spark GBT counterpart.)
+    Rounds stop early on the fold's validation share, as in :func:`training.cross_validate`."""
     kw = {"weightCol": weight_col} if weight_col else {}
+    if validation_col:
+        kw["validationIndicatorCol"] = validation_col
     return GBTClassifier(featuresCol="features", labelCol="label", maxIter=int(p["n_estimators"]),
                          maxDepth=int(p["max_depth"]), stepSize=float(p["learning_rate"]),
                          subsamplingRate=float(p["subsample"]), featureSubsetStrategy=str(float(p["colsample_bytree"])),
@@ -87,20 +91,32 @@ def search_input(master: DataFrame, threshold: float = R.HIGH_MISSING_THRESHOLD)
 
 def run_search(dev: DataFrame, n_trials: int = N_TRIALS, timeout_s: float = TIMEOUT_SECONDS,
                space: Sequence[Dim] = BOOSTED_SPACE, cfg: TR.ModelConfig | None = None, parallelism: int = 8,
-               label: str = "TARGET", id_col: str = "SK_ID_CURR") -> tuple[DataFrame, dict]:
-    """Trials table ``(trial, params, cv_auc_mean, cv_auc_std, n_folds, seconds)`` and the best trial."""
+               label: str = "TARGET", id_col: str = "SK_ID_CURR", chunk: int = 8) -> tuple[DataFrame, dict]:
+    """Trials table ``(trial, params, cv_auc_mean, cv_auc_std, n_folds, seconds)`` and the best trial.
+
+    Candidates are evaluated in chunks through :func:`training.cross_validate`: the preprocessing
+    is fitted once per fold for the whole chunk and every (candidate, fold) fit runs concurrently.
+    No new chunk starts once the time budget is spent."""
     cfg = cfg or TR.ModelConfig()
     weight = "weight" if "weight" in dev.columns else None
+    cands = candidates(n_trials, space, cfg.seed)
     rows = []
     t_start = time.monotonic()
-    for i, p in enumerate(candidates(n_trials, space, cfg.seed)):
+    for start in range(0, len(cands), max(1, chunk)):
         if time.monotonic() - t_start > timeout_s:
             break
         t0 = time.monotonic()
-        scores = TR.cross_validate(dev, cfg, label, id_col, parallelism=parallelism,
-                                   models={"candidate": boosted_estimator(p, weight, cfg.seed)})
-        s = scores.agg(F.avg("auc").alias("m"), F.stddev_pop("auc").alias("s"), F.count("auc").alias("n")).first()
-        rows.append((i, json.dumps(p, sort_keys=True), s["m"], s["s"], int(s["n"]), round(time.monotonic() - t0, 3)))
+        batch = {f"trial_{i}": boosted_estimator(cands[i], weight, cfg.seed)
+                 for i in range(start, min(start + chunk, len(cands)))}
+        scores = TR.cross_validate(dev, cfg, label, id_col, parallelism=parallelism, models=batch)
+        per = {r["model"]: r for r in scores.groupBy("model").agg(
+            F.avg("auc").alias("m"), F.stddev_pop("auc").alias("s"), F.count("auc").alias("n")).collect()}
+        spent = round((time.monotonic() - t0) / len(batch), 3)
+        for name in batch:
+            i = int(name.split("_")[1])
+            r = per.get(name)
+            rows.append((i, json.dumps(cands[i], sort_keys=True), r["m"] if r else None, r["s"] if r else None,
+                         int(r["n"]) if r else 0, spent))
     spark = dev.sparkSession
     trials = spark.createDataFrame(rows, "trial int, params string, cv_auc_mean double, cv_auc_std double, "
                                          "n_folds int, seconds double")
