@@ -29,3 +29,9 @@ def test_cli_round_trip(spark, scratch, capsys):
     scored = spark.read.parquet(f"{scratch}/scored")
     assert scored.count() == 150
     assert scored.where("is_valid = 1 AND probability IS NULL").count() == 0
+    # the same saved pipeline scores a file stream (availableNow trigger, exactly-once file sink)
+    main(["score", "--requests", f"{scratch}/requests", "--out", f"{scratch}/scored_stream", "--models",
+          f"{scratch}/models", "--stream"])
+    streamed = spark.read.parquet(f"{scratch}/scored_stream")
+    assert streamed.count() == 150
+    assert streamed.where("is_valid = 1 AND probability IS NULL").count() == 0
