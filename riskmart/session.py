@@ -8,6 +8,18 @@ import tempfile
 from pyspark.sql import SparkSession
 
 
+# Sizing for large inputs (used on non-local masters, only where the cluster has not set a value):
+# many shuffle partitions that AQE coalesces to ~256 MB each, 256 MB scan splits, skew splitting on.
+CLUSTER_DEFAULTS = {
+    "spark.sql.shuffle.partitions": "8000",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256m",
+    "spark.sql.adaptive.coalescePartitions.minPartitionSize": "64m",
+    "spark.sql.files.maxPartitionBytes": "256m",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "1g",
+    "spark.sql.adaptive.localShuffleReader.enabled": "true",
+}
+
+
 def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
               app_name: str = "riskmart") -> SparkSession:
     """Build (or reuse) a session with the settings the engine relies on.
@@ -30,6 +42,11 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     if shuffle_partitions is not None:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = builder.getOrCreate()
+    if not master.startswith("local"):
+        conf = spark.sparkContext.getConf()
+        for k, v in CLUSTER_DEFAULTS.items():
+            if not conf.contains(k) and not (k == "spark.sql.shuffle.partitions" and shuffle_partitions):
+                spark.conf.set(k, v)
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
