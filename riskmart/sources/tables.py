@@ -55,8 +55,8 @@ def _schema(*fields: tuple[str, T.DataType]) -> T.StructType:
     return T.StructType([T.StructField(n, t, True) for n, t in fields])
 
 
-# Explicit schemas of the columns the engine reads; other columns of a CSV are read as strings
-# unless the caller passes a fuller schema.
+# Declared types of known columns, matched to a CSV header by name; a file with other columns is
+# read with type inference and the declared columns are cast.
 SCHEMAS = {
     "bureau": _schema(("SK_ID_CURR", _L), ("SK_ID_BUREAU", _L), ("CREDIT_ACTIVE", _S),
                       ("CREDIT_CURRENCY", _S), ("DAYS_CREDIT", _L), ("CREDIT_DAY_OVERDUE", _L),
@@ -115,15 +115,25 @@ def null_text_tokens(df: DataFrame, tokens=CSV_NULL_TOKENS) -> DataFrame:
 
 
 def read_csv_table(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """S-IN-1: one CSV with header. With a schema no inference pass is run (no extra job)."""
+    """S-IN-1: one CSV with header; declared types are matched to the header *by name*.
+
+    When every header column has a declared type the file is read with that schema in header order
+    (no inference pass). Otherwise types are inferred and the declared columns are cast to their
+    declared types. Missing-value tokens become NULL in text and NaN becomes NULL in numbers."""
     if not _exists(spark, path):
         raise MissingTableError(f"Expected data file not found: {path}")
-    reader = spark.read.option("header", True).option("nullValue", "").option("nanValue", "NaN")
-    if schema is not None:
-        reader = reader.schema(schema).option("enforceSchema", False)
+    base = spark.read.option("header", True).option("nullValue", "").option("nanValue", "NaN")
+    declared = {f.name: f.dataType for f in schema.fields} if schema is not None else {}
+    header = base.csv(path).columns  # header line only; no data pass
+    if declared and all(c in declared for c in header):
+        ordered = T.StructType([T.StructField(c, declared[c], True) for c in header])
+        df = base.schema(ordered).option("enforceSchema", True).csv(path)
     else:
-        reader = reader.option("inferSchema", True)
-    return nan_to_null(null_text_tokens(reader.csv(path)))
+        df = base.option("inferSchema", True).csv(path)
+        if declared:
+            df = df.select(*[F.col(f"`{c}`").cast(declared[c]).alias(c) if c in declared else F.col(f"`{c}`")
+                             for c in df.columns])
+    return nan_to_null(null_text_tokens(df))
 
 
 def read_parquet_table(spark: SparkSession, path: str) -> DataFrame:
