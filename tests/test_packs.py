@@ -140,3 +140,20 @@ def test_approximate_distinct_option(installments):
     approx = {r["SK_ID_CURR"]: r["INSTAL_NUM_UNIQUE_LOANS"]
               for r in P.INSTALLMENTS.run(installments, approx_distinct=True).collect()}
     assert exact == approx  # tiny counts are exact under HLL++
+
+
+def test_nan_input_behaves_like_missing(spark, scratch):
+    """NaN is the reference's missing marker: after the source conversion it is skipped by
+    aggregates and compares false in flags (Spark would otherwise order NaN above every number)."""
+    from riskmart.sources import tables as TB
+
+    nan = float("nan")
+    rows = [(1, 7, 1.0, -30.0, nan, 100.0, nan), (1, 8, 1.0, -10.0, -5.0, 100.0, 90.0)]
+    df = spark.createDataFrame(rows, "SK_ID_CURR long, SK_ID_PREV long, NUM_INSTALMENT_VERSION double, "
+                                     "DAYS_INSTALMENT double, DAYS_ENTRY_PAYMENT double, AMT_INSTALMENT double, "
+                                     "AMT_PAYMENT double")
+    df.write.parquet(f"{scratch}/installments.parquet")
+    r = P.installment_features(TB.load_table(spark, scratch, "installments")).first()
+    assert r["INSTAL_LATE_COUNT"] == 1 and r["INSTAL_LATE_RATIO"] == pytest.approx(0.5)
+    assert r["INSTAL_DPD_MAX"] == 5.0 and r["INSTAL_AMT_PAYMENT_MEAN"] == pytest.approx(90.0)
+    assert r["INSTAL_UNDERPAYMENT_COUNT"] == 1
