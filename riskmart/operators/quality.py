@@ -151,7 +151,6 @@ def with_defaults(requests: DataFrame) -> DataFrame:
 def row_constraints(requests: DataFrame) -> DataFrame:
     """Add ``n_reasons``, ``reasons`` (text, '; '-separated) and ``is_valid`` to every request row."""
     df = with_defaults(requests)
-    cols = set(requests.columns)
     checks = []
     for name, lo, hi, _ in NUMERIC_RULES:
         if name not in df.columns:
@@ -162,7 +161,6 @@ def row_constraints(requests: DataFrame) -> DataFrame:
                       .when((c < lo) | (c > hi), F.lit(f"{name}: out of range")))
     for name, allowed, _ in ENUM_RULES:
         checks.append(F.when(~F.col(name).isin(allowed), F.lit(f"{name}: not allowed")))
-    del cols
     n = reduce(lambda a, b: a + b, [F.when(c.isNotNull(), 1).otherwise(0) for c in checks])
     return df.select("*", n.alias("n_reasons"), F.concat_ws("; ", *checks).alias("reasons")).withColumn(
         "is_valid", (F.col("n_reasons") == 0).cast("int"))
