@@ -11,7 +11,6 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 OFFSET = "1.37e-6"
@@ -19,17 +18,18 @@ DIGITS = 4
 
 
 def tidy(df: DataFrame) -> DataFrame:
-    cols = []
+    """Same rules as :func:`norm_sql`, as one ``selectExpr`` (one call for the whole projection)."""
+    exprs = []
     for f in df.schema.fields:
-        c = F.col(f"`{f.name}`")
+        c = f"`{f.name}`"
         t = f.dataType
         if isinstance(t, (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.BooleanType)):
-            cols.append(c.cast("bigint").alias(f.name))
+            exprs.append(f"CAST({c} AS BIGINT) AS {c}")
         elif isinstance(t, (T.FloatType, T.DoubleType, T.DecimalType)):
-            cols.append(F.round(c.cast("double") + F.lit(float(OFFSET)), DIGITS).alias(f.name))
+            exprs.append(f"ROUND(CAST({c} AS DOUBLE) + {OFFSET}, {DIGITS}) AS {c}")
         else:
-            cols.append(c.alias(f.name))
-    return df.select(*cols)
+            exprs.append(c)
+    return df.selectExpr(*exprs)
 
 
 def norm_sql(inner: str, ints: Iterable[str] = (), strs: Iterable[str] = (), dbls: Iterable[str] = (),

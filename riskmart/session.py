@@ -37,6 +37,11 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # batch jobs: skip the per-call Python call-site capture of the DataFrame API (it adds a
+        # session lookup, a conf read and a stack walk to every Column/DataFrame call while the
+        # wide feature plans are built); errors still carry the JVM context
+        .config("spark.python.sql.dataFrameDebugging.enabled",
+                os.environ.get("RISKMART_DF_DEBUGGING", "false"))
         .config("spark.driver.memory", os.environ.get("RISKMART_DRIVER_MEMORY", "16g"))
     )
     if shuffle_partitions is not None:
