@@ -122,8 +122,19 @@ LOAN_TABLES = ("application", "bureau", "bureau_balance", "previous",
                "installments", "pos_cash", "credit_card")
 
 
+_BASE_CACHE: dict[tuple[int, str], tuple[SparkSession, DataFrame]] = {}
+
+
 def _base(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    """Parquet scan of one input table, reused per session and path: the DataFrame holds the file
+    index, so repeated queries over the same (read-only) inputs do not list the folder again."""
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (id(spark), path)
+    hit = _BASE_CACHE.get(key)
+    if hit is None or hit[0] is not spark:   # a new session object never reuses an old scan
+        hit = (spark, spark.read.parquet(path))
+        _BASE_CACHE[key] = hit
+    return hit[1]
 
 
 def _parameterised(sql: str) -> str:
