@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from riskmart.llm import (binary_output, decontamination, packing, token_counts, toxicity)
+from riskmart.llm import (binary_output, decontamination, ngram_join, packing, token_counts, toxicity)
 
 QUERIES = {
     "op3_edit_decontamination": decontamination.op3_edit_decontamination,
     "op4_bitpacked_ids": binary_output.op4_bitpacked_ids,
     "op5_nnpu_toxicity": toxicity.op5_nnpu_toxicity,
+    "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
     "op8_separator_scan": token_counts.op8_separator_scan,
     "op9_retrieval_packing": packing.op9_retrieval_packing,
 }

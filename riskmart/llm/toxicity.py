@@ -40,7 +40,7 @@ class Model:
 
 
 def fit_nnpu(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, *, max_words: int = 4096,
-             min_count: int = 4, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> Model:
+             min_count: int = 3, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> Model:
     """Fit by Adam on the non-negative PU risk. Words are those in at least ``min_count`` positives and
     commoner there than in unlabelled text (at most ``max_words``, the commonest first)."""
     if not positive or not unlabelled or not 0 < prior < 1:
