@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from riskmart.llm import (binary_output, decontamination, ngram_join, packing, token_counts, toxicity)
+from riskmart.llm import (binary_output, decontamination, line_dedup, ngram_join, packing, resharding,
+                          token_counts, toxicity)
 
 QUERIES = {
+    "op1_fuzzy_lines": line_dedup.op1_fuzzy_lines,
+    "op2_flow_resharding": resharding.op2_flow_resharding,
     "op3_edit_decontamination": decontamination.op3_edit_decontamination,
     "op4_bitpacked_ids": binary_output.op4_bitpacked_ids,
     "op5_nnpu_toxicity": toxicity.op5_nnpu_toxicity,
