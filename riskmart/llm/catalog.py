@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from riskmart.llm import (binary_output, decontamination, line_dedup, ngram_join, packing, resharding,
-                          token_counts, toxicity)
+from riskmart.llm import (binary_output, decontamination, line_dedup, ngram_join, packing, pii, quality_rules,
+                          resharding, token_counts, toxicity)
 
 QUERIES = {
     "op1_fuzzy_lines": line_dedup.op1_fuzzy_lines,
@@ -11,8 +11,10 @@ QUERIES = {
     "op3_edit_decontamination": decontamination.op3_edit_decontamination,
     "op4_bitpacked_ids": binary_output.op4_bitpacked_ids,
     "op5_nnpu_toxicity": toxicity.op5_nnpu_toxicity,
+    "op6_risk_controlled_rules": quality_rules.op6_risk_controlled_rules,
     "op7_ngram_jaccard": ngram_join.op7_ngram_jaccard,
     "op8_separator_scan": token_counts.op8_separator_scan,
     "op9_retrieval_packing": packing.op9_retrieval_packing,
+    "op10_disclosure_sanitiser": pii.op10_disclosure_sanitiser,
 }
 ORACLES: dict[str, str] = {}
