@@ -234,3 +234,8 @@ def op9_retrieval_packing(spark, sf_dir: str) -> DataFrame:
 def digest(pieces: DataFrame) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                          "sequence_id", "offset")
+
+
+def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Last pipeline stage: the remaining documents as packed pieces."""
+    return digest(pack(docs))
