@@ -102,8 +102,9 @@ def cmd_score(args) -> dict:
         checked = Q.row_constraints(requests)
         feats = SC.request_features(checked, keep=("id", "is_valid", "reasons"))
         aligned, _ = SC.align_features(feats, names, keep=("id", "is_valid", "reasons"))
-        return SC.score_with_model(aligned, model, keep=("id", "is_valid", "reasons"), threshold=threshold) \
-                 .withColumn("probability", F.when(F.col("is_valid") == 1, F.col("probability")))
+        out = SC.score_with_model(aligned, model, keep=("id", "is_valid", "reasons"), threshold=threshold)
+        decided = [c for c in out.columns if c not in ("id", "is_valid", "reasons")]
+        return out.withColumns({c: F.when(F.col("is_valid") == 1, F.col(c)) for c in decided})   # rejected: no decision
 
     if args.stream:
         q = start_scoring_stream(spark, args.requests, args.out, {}, 0.0, transform=transform)

@@ -200,23 +200,24 @@ RECOMMENDATIONS = [
 
 
 def band_of(p: ColumnOrName, field: int = 2) -> Column:
-    """Band label (field=2) or description (field=3) of a probability; outside all bands -> Very High."""
+    """Band label (field=2) or description (field=3) of a probability; outside all bands -> Very High,
+    NULL (a request that was not scored) -> NULL."""
     col = _col(p)
-    out = None
+    out = F.when(col.isNull(), F.lit(None))
     for lo, hi, *rest in RISK_BANDS:
         value = F.lit((lo, hi, *rest)[field])
         cond = (col >= lo) & (col < hi)
-        out = F.when(cond, value) if out is None else out.when(cond, value)
+        out = out.when(cond, value)
     fallback = "Very High" if field == 2 else ("Very high default risk." if field == 3 else None)
     return out.otherwise(F.lit(fallback))
 
 
 def recommendation_of(p: ColumnOrName, field: int = 1) -> Column:
     col = _col(p)
-    out = None
+    out = F.when(col.isNull(), F.lit(None))
     for cut, *rest in RECOMMENDATIONS:
         value = F.lit((cut, *rest)[field])
         if cut is None:
             return out.otherwise(value)
-        out = F.when(col < cut, value) if out is None else out.when(col < cut, value)
+        out = out.when(col < cut, value)
     return out

@@ -96,8 +96,8 @@ def top_factors_per_row(contribs: DataFrame, k: int = RESPONSE_FACTORS, digits:
     w = Window.partitionBy("id").orderBy(F.desc(F.abs("contribution")), F.asc("feature"))
     ranked = contribs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("id", "rank", "feature", F.round("contribution", digits).alias("contribution"),
-                         F.when(F.col("contribution") > 0, F.lit("increases risk"))
-                         .otherwise(F.lit("decreases risk")).alias("direction"))
+                         F.when(F.col("contribution") > 0, F.lit("increases_risk"))
+                         .otherwise(F.lit("decreases_risk")).alias("direction"))
 
 
 def top_factors_nested(contribs: DataFrame, k: int = RESPONSE_FACTORS) -> DataFrame:

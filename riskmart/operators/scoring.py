@@ -94,9 +94,10 @@ def sigmoid(margin: Column) -> Column:
 
 
 def decide(df: DataFrame, prob_col: str = "probability", threshold: float = DEFAULT_THRESHOLD) -> DataFrame:
-    """Q-2..Q-4: 0/1 decision at the threshold, risk band, band text, recommendation."""
+    """Q-2..Q-4: 0/1 decision at the threshold, risk band, band text, recommendation; all NULL where the
+    probability is NULL (a rejected request has no decision)."""
     p = F.col(prob_col)
-    return df.select("*", F.when(p >= threshold, 1).otherwise(0).alias("prediction"),
+    return df.select("*", F.when(p >= threshold, 1).when(p.isNotNull(), 0).alias("prediction"),
                      X.band_of(p, 2).alias("risk_band"), X.band_of(p, 3).alias("risk_text"),
                      X.recommendation_of(p, 1).alias("recommendation"))
 

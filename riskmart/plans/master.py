@@ -10,6 +10,8 @@ size grows with the data is broadcast unchecked.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,8 +90,9 @@ def load_or_build_master(spark: SparkSession, raw_dir: str, cache_path: str, fmt
     """
     from riskmart.operators import quality
 
-    marker = f"{cache_path.rstrip('/')}/_source={_safe_name(raw_dir)}"
-    if not force_rebuild and TB.table_exists(spark, marker):
+    marker = f"{cache_path.rstrip('/')}/_source={_source_key(raw_dir, fmt)}"
+    # the writer's marker is there only after a complete write
+    if not force_rebuild and TB.table_exists(spark, f"{marker}/_SUCCESS"):
         return spark.read.parquet(marker)
     tables = TB.load_all(spark, raw_dir, fmt)
     if validate:
@@ -99,5 +102,6 @@ def load_or_build_master(spark: SparkSession, raw_dir: str, cache_path: str, fmt
     return spark.read.parquet(marker)
 
 
-def _safe_name(path: str) -> str:
-    return "".join(ch if ch.isalnum() else "_" for ch in path.strip("/"))[-120:]
+def _source_key(path: str, fmt: str) -> str:
+    """Key of an input folder and format; different paths never share one."""
+    return hashlib.sha256(f"{fmt}:{path.rstrip('/')}".encode()).hexdigest()

@@ -358,8 +358,8 @@ def top_features(spark, sf_dir):
 
 
 @query("top_factors_per_row", norm_sql(
-    f"SELECT id, rank, feature, round(contribution, 4) AS contribution, CASE WHEN contribution > 0 THEN 'increases risk' "
-    f"ELSE 'decreases risk' END AS direction FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(contribution) DESC, "
+    f"SELECT id, rank, feature, round(contribution, 4) AS contribution, CASE WHEN contribution > 0 THEN 'increases_risk' "
+    f"ELSE 'decreases_risk' END AS direction FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY abs(contribution) DESC, "
     f"feature) AS rank FROM contrib) r WHERE rank <= {AT.RESPONSE_FACTORS}",
     ints=["id", "rank"], strs=["feature", "direction"], dbls=["contribution"], prefix=_ATTR_PREFIX))
 def top_factors_per_row(spark, sf_dir):

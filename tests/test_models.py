@@ -97,6 +97,14 @@ def test_cached_master_and_missing_files(spark, scratch):
         M.load_or_build_master(spark, raw, f"{scratch}/cache2", validate=True)  # min-row checks fail on tiny data
 
 
+def test_cache_key_tells_inputs_apart():
+    from riskmart.plans import master as M
+
+    long = "s3://bucket/" + "x" * 200
+    keys = {M._source_key(p, f) for p in ("s3://b/raw-v1", "s3://b/raw_v1", "a" + long, "b" + long) for f in ("csv", "parquet")}
+    assert len(keys) == 8 and M._source_key("s3://b/raw/", "csv") == M._source_key("s3://b/raw", "csv")
+
+
 def test_csv_reader_nulls_tokens(spark, scratch):
     from riskmart.sources import tables as TB
 

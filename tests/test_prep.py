@@ -64,14 +64,13 @@ def test_population_scaler_zero_variance(spark):
     assert [r["a"] for r in out] == [-1.0, 1.0] and [r["b"] for r in out] == [0.0, 0.0]
 
 
-@pytest.mark.parametrize("limit", [5, 100_000])
-def test_exact_quantiles_match_numpy(spark, limit):
+def test_exact_quantiles_match_numpy(spark):
     rng = np.random.default_rng(7)
     a = rng.lognormal(10, 2, 3000)
     b = np.round(rng.normal(0, 1, 3000), 1)  # many ties
     pdf_rows = [(float(x), float(y) if i % 7 else None) for i, (x, y) in enumerate(zip(a, b))]
     df = spark.createDataFrame(pdf_rows, "a double, b double")
-    got = exact_quantiles(df, ["a", "b"], [0.01, 0.5, 0.99], bins=16, collect_limit=limit)
+    got = exact_quantiles(df, ["a", "b"], [0.01, 0.5, 0.99])
     bb = np.array([r[1] for r in pdf_rows if r[1] is not None])
     for p, v in zip([0.01, 0.5, 0.99], got["a"]):
         assert v == pytest.approx(np.quantile(a, p), rel=1e-12)
@@ -79,6 +78,17 @@ def test_exact_quantiles_match_numpy(spark, limit):
         assert v == pytest.approx(np.quantile(bb, p), rel=1e-12, abs=1e-12)
 
 
+def test_exact_quantiles_of_many_rows_with_infinities(spark):
+    df = spark.range(120_001).selectExpr(
+        "CASE WHEN id % 40000 = 7 THEN double('inf') WHEN id % 50000 = 9 THEN double('-inf') ELSE pmod(id * 7919, 120001) / 8e0 END AS a",
+        "double(id % 3) AS ties", "cast(NULL AS double) AS nothing", "CASE WHEN id = 5 THEN 2e0 END AS one")
+    got = exact_quantiles(df, df.columns, [0.0, 0.25, 0.5, 0.999, 1.0])
+    a = np.sort([r.a for r in df.select("a").collect()])
+    assert got["a"][0] == -np.inf and got["a"][4] == np.inf
+    assert got["a"][1:4] == pytest.approx(np.quantile(a[np.isfinite(a) | True], [0.25, 0.5, 0.999]).tolist())
+    assert got["ties"] == [0.0, 0.0, 1.0, 2.0, 2.0] and got["nothing"] == [None] * 5 and got["one"] == [2.0] * 5
+
+
 def test_one_hot_drop_first(spark):
     df = spark.createDataFrame([(1, "x"), (2, "y"), (3, None), (4, "z")], "id int, c string")
     out = {r["id"]: r for r in R.one_hot_drop_first(df).collect()}

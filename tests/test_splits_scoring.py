@@ -77,7 +77,7 @@ def test_linear_attribution_completeness(spark):
     gaps = [r["gap"] for r in AT.completeness_gap(contrib).collect()]
     assert max(gaps) < 1e-12
     top = AT.top_factors_per_row(contrib, k=1).where("id = 3").first()
-    assert top["feature"] == "b" and top["direction"] == "decreases risk"
+    assert top["feature"] == "b" and top["direction"] == "decreases_risk"
 
 
 def test_streaming_scoring_job(spark, scratch):
@@ -94,3 +94,11 @@ def test_streaming_scoring_job(spark, scratch):
     valid = out.where("is_valid = 1")
     assert valid.where(F.col("probability").isNull()).count() == 0
     assert out.where("is_valid = 0 AND probability IS NOT NULL").count() == 0
+
+
+def test_no_decision_without_a_score(spark):
+    from riskmart.functions import expr as X
+
+    df = spark.createDataFrame([(None,), (0.1,)], "p double")
+    rows = df.select("p", X.band_of("p").alias("band"), X.recommendation_of("p").alias("rec")).collect()
+    assert rows[0].band is None and rows[0].rec is None and rows[1].band and rows[1].rec
