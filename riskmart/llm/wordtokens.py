@@ -12,6 +12,9 @@ import numpy as np
 
 #: Words kept by one Python worker (about 250 bytes each).
 CACHE_WORDS = 600_000
+#: Punctuation that may follow a word of letters (no apostrophe, which the tokenizer's contractions use, and
+#: no character of the special tokens).
+TAIL = ".,;:!?()[]{}\"-*/\\&%$#@+=~^_`"
 #: id added after every document by the packing and binary-output operators.
 END_ID = 1
 
@@ -37,25 +40,41 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[str]) -> None:
-        """Ids of words not met before. A purely alphabetic word is one pre-token, so such words are
-        encoded as one blank-joined text and cut after each word-end id; others go one by one."""
-        plain = [w for w in new if w.isascii() and w.isalpha()]
+    def _learn(self, new: set[str]) -> None:
+        """Ids of words not met before. Letters and a tail of punctuation are separate pre-tokens, and case
+        is dropped, so such a word is put together from its two parts. A word of letters is one pre-token:
+        these are encoded as one blank-joined text and cut after each word-end id; all others go one by one."""
+        parts, letters, rest = [], set(), []
+        for w in new:
+            core = w.rstrip(TAIL)
+            if not core.isalpha():
+                rest.append(w)
+                continue
+            tail = w[len(core):]
+            core = core.lower() if core.isascii() else core
+            parts.append((w, core, tail))
+            letters.add(core)
+            if tail and tail not in self.cache:
+                self.cache[tail] = self._bytes(self._ids([tail])[0])
+        plain = list(letters.difference(self.cache))
         for i in range(0, len(plain), 5000):
             part = plain[i:i + 5000]
             ids = np.array(self._ids([" ".join(part)])[0], dtype=self.dtype)
             cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) != len(part) or cuts[-1] != len(ids):
-                self.cache.update((w, np.array(x, self.dtype).tobytes()) for w, x in zip(part, self._ids(part)))
+            if len(cuts) != len(part) or cuts[-1] != len(ids):       # a letter whose lower case is not one letter
+                rest += part
                 continue
             raw, at, step = ids.tobytes(), 0, self.dtype.itemsize
             for w, c in zip(part, (cuts * step).tolist()):
                 self.cache[w] = raw[at:c]
                 at = c
-        rest = [w for w in new if not (w.isascii() and w.isalpha())]
         for i in range(0, len(rest), 5000):
             part = rest[i:i + 5000]
-            self.cache.update((w, np.array(x, self.dtype).tobytes()) for w, x in zip(part, self._ids(part)))
+            self.cache.update((w, self._bytes(x)) for w, x in zip(part, self._ids(part)))
+        self.cache.update((w, self.cache[core] + self.cache[tail]) for w, core, tail in parts)
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return np.array(ids, self.dtype).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Id bytes (``self.dtype``) of each text; a null text has none."""
@@ -67,7 +86,7 @@ class WordEncoder:
                 if len(self.cache) + len(new) > CACHE_WORDS:
                     self.cache = {"": b""}
                     new = set().union(*split).difference(self.cache)
-                self._learn(list(new))
+                self._learn(new)
             look = self.cache.__getitem__
             out += [b"".join(map(look, ws)) for ws in split]
         return out
