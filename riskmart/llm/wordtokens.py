@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Words kept by one Python worker (about 250 bytes each).
+#: Words kept by one Python worker (about 200 bytes each).
 CACHE_WORDS = 600_000
 #: Punctuation that may follow a word of letters (no apostrophe, which the tokenizer's contractions use, and
 #: no character of the special tokens).
@@ -51,7 +51,7 @@ class WordEncoder:
                 rest.append(w)
                 continue
             tail = w[len(core):]
-            core = core.lower() if core.isascii() else core
+            core = core if "\u03a3" in core or "\u0130" in core else core.lower()   # those two lower by context or to two letters
             parts.append((w, core, tail))
             letters.add(core)
             if tail and tail not in self.cache:
