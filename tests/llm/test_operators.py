@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from riskmart.llm import (binary_output, catalog, decontamination, line_dedup, ngram_join, packing, pii, quality_rules,
-                          resharding, token_counts, toxicity)
+                          resharding, token_counts, toxicity, wordtokens)
 from riskmart.llm.common import scratch
 from riskmart.llm.components import components
 from riskmart.llm.wordtokens import default_tokenizer
@@ -181,6 +181,24 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+@pytest.mark.parametrize("literal", [False, True])
+def test_word_encoder_equals_the_library(literal, monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(wordtokens, "CACHE_WORDS", 3000)
+    rng = random.Random(5)
+    bits = [*"aAbZ\u00df\u00c9\u00fc\u0130\u03a3\u03c3\u0416\u4e00\u00aa\u00b2\u0301\u0338\u00d7\U0001f600 \n\t\u00a0'.,*=_-<>|9", "<|endoftext|>", "<|EndOfText|>",
+            "the", "It's", " ", " ", ". ", "***\n", "Word,"]
+    texts = ["".join(rng.choice(bits) for _ in range(rng.randrange(40))) for _ in range(4000)] + [None, "", " "]
+    texts += ["".join(rng.choice("aBc\u00e9 \n.,*'9") for _ in range(60)) for _ in range(2000)]
+    tok = Tokenizer.from_file(default_tokenizer())
+    tok.encode_special_tokens = literal
+    enc = wordtokens.WordEncoder(default_tokenizer(), literal)
+    got = [np.frombuffer(x, enc.dtype).tolist() for x in enc.encode(texts)]
+    want = [tok.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [(t, g, w) for t, g, w in zip(texts, got, want) if g != w] == []
+
+
 def test_binary_output(spark, docs, plain_ids, empty):
     path = binary_output.write_token_files(docs, scratch(spark, "test"))
     got = sorted(binary_output.read_token_files(spark, path).collect())
