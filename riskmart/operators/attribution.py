@@ -15,6 +15,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskmart.session import written
+
 # Fixed values (must equal the reference): background rows, factors per row in reports and in
 # responses, global top-n, features in the summary view.
 BACKGROUND_ROWS = 100
@@ -22,6 +24,7 @@ TOP_FACTORS = 10
 RESPONSE_FACTORS = 5
 TOP_FEATURES = 20
 SUMMARY_FEATURES = 25
+TIE_DIGITS = 9
 
 
 def _x(f: str, fill: float) -> Column:
@@ -46,9 +49,9 @@ def linear_contributions(df: DataFrame, coefficients: Mapping[str, float], inter
                          background: DataFrame | None = None, fill: float = 0.0) -> DataFrame:
     """X-2 (linear, exact): long table ``(id, feature, value, contribution, base_value, margin)``."""
     feats = list(coefficients)
-    if background is None and not df.storageLevel.useMemory and not df.storageLevel.useDisk:
-        # read twice (expectation pass, contribution pass): keep only the needed columns cached
-        df = df.select(id_col, *[c for c in feats if c in df.columns]).persist()
+    if background is None:
+        # read twice (expectation pass, contribution pass): only the needed columns are written
+        df = written(df.select(id_col, *[c for c in feats if c in df.columns]), "attribution")
     means = background_means(background if background is not None else df, feats, fill)
     base = float(intercept) + sum(coefficients[f] * means[f] for f in feats)
     margin = F.lit(float(intercept))
@@ -92,8 +95,10 @@ def top_features(contribs: DataFrame, n: int = TOP_FEATURES) -> DataFrame:
 def top_factors_per_row(contribs: DataFrame, k: int = RESPONSE_FACTORS, digits: int = 4) -> DataFrame:
     """X-5/X-6: top-k factors of every row by |contribution| (ties by feature name), with direction.
 
-    The window is partitioned by row id, so each partition holds one row's features only."""
-    w = Window.partitionBy("id").orderBy(F.desc(F.abs("contribution")), F.asc("feature"))
+    Contributions that agree to ``TIE_DIGITS`` decimals are tied: the background means are sums whose last
+    bits depend on the order of the rows. The window is partitioned by row id, so each partition holds one
+    row's features only."""
+    w = Window.partitionBy("id").orderBy(F.desc(F.round(F.abs("contribution"), TIE_DIGITS)), F.asc("feature"))
     ranked = contribs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     return ranked.select("id", "rank", "feature", F.round("contribution", digits).alias("contribution"),
                          F.when(F.col("contribution") > 0, F.lit("increases_risk"))

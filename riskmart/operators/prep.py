@@ -14,7 +14,7 @@ from collections.abc import Sequence
 
 from pyspark import keyword_only
 from pyspark.ml import Estimator, Model, Pipeline
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexerModel, VectorAssembler
 from pyspark.ml.param import Param, Params, TypeConverters
 from pyspark.ml.util import DefaultParamsReadable, DefaultParamsWritable
 from pyspark.sql import Column, DataFrame
@@ -30,7 +30,6 @@ HIGH_MISSING_THRESHOLD = 0.40
 OUTLIER_CAP_PERCENTILE = 99
 SKEWED_COLUMNS = ["AMT_INCOME_TOTAL", "AMT_CREDIT", "AMT_ANNUITY", "AMT_GOODS_PRICE",
                   "BUREAU_DEBT_SUM", "BUREAU_CREDIT_SUM", "BUREAU_OVERDUE_SUM"]
-MAX_CATEGORIES = 10_000
 
 _NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType, T.DoubleType, T.DecimalType)
 
@@ -223,17 +222,13 @@ def column_modes(df: DataFrame, cols: Sequence[str]) -> dict[str, str | None]:
     return {c: found.get(i) for i, c in enumerate(cols)}
 
 
-def column_categories(df: DataFrame, cols: Sequence[str], limit: int = MAX_CATEGORIES) -> dict[str, list[str]]:
-    """Sorted distinct values per column (a categorical vocabulary; refuses unbounded vocabularies)."""
-    if not cols:
-        return {}
-    vc = _value_counts(df, cols).select("cid", "v")
-    rows = vc.limit(limit * len(cols) + 1).collect()
-    if len(rows) > limit * len(cols):
-        raise ValueError("categorical vocabulary too large for an in-plan lookup")
+def column_categories(df: DataFrame, cols: Sequence[str]) -> dict[str, list[str]]:
+    """Sorted distinct values per column. Like Spark's own StringIndexer, a fitted vocabulary is part of
+    the model and lies on the driver; nothing else does."""
     out: dict[str, list[str]] = {c: [] for c in cols}
-    for r in rows:
-        out[cols[r["cid"]]].append(r["v"])
+    if cols:
+        for r in _value_counts(df, cols).select("cid", "v").toLocalIterator():
+            out[cols[r["cid"]]].append(r["v"])
     return {c: sorted(v) for c, v in out.items()}
 
 
@@ -254,17 +249,19 @@ class ModeImputer(_Est):
 
 class OrdinalIndexerModel(_StatsModel):
     def _transform(self, df: DataFrame) -> DataFrame:
-        cats = self.stats["categories"]
-        out = []
-        for c in df.columns:
-            if c in cats:
-                vocab = cats[c]
-                m = F.create_map(*[x for i, v in enumerate(vocab) for x in (F.lit(v), F.lit(float(i)))]) if vocab else None
-                idx = F.try_element_at(m, _c(c).cast("string")) if m is not None else F.lit(None).cast("double")
-                out.append(F.coalesce(idx, F.lit(-1.0)).alias(c))
-            else:
-                out.append(_c(c))
-        return df.select(*out)
+        """The lookup is Spark's StringIndexerModel (a hash map in each task); its extra index for unseen and
+        missing values becomes -1."""
+        cats = {c: v for c, v in self.stats["categories"].items() if c in df.columns}
+        known = [c for c in cats if cats[c]]
+        if known:
+            texts = df.select("*", *[_c(c).cast("string").alias(f"_text_{c}") for c in known])
+            df = StringIndexerModel.from_arrays_of_labels(
+                [cats[c] for c in known], inputCols=[f"_text_{c}" for c in known],
+                outputCols=[f"_index_{c}" for c in known], handleInvalid="keep").transform(texts)
+        index = {c: F.when(_c(f"_index_{c}") < len(cats[c]), _c(f"_index_{c}")).otherwise(-1.0) if cats[c] else F.lit(-1.0)
+                 for c in cats}
+        hidden = {f"{p}{c}" for c in known for p in ("_text_", "_index_")}
+        return df.select(*[index[c].alias(c) if c in cats else _c(c) for c in df.columns if c not in hidden])
 
 
 class OrdinalIndexer(_Est):

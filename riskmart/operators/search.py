@@ -71,9 +71,11 @@ def candidates(n_trials: int, space: Sequence[Dim] = BOOSTED_SPACE, seed: int =
 
 
 def boosted_estimator(p: Mapping[str, float], weight_col: str | None, seed: int = 42,
-                      validation_col: str | None = "is_validation") -> GBTClassifier:
+                      validation_col: str | None = "is_validation", rows: float = 1.0) -> GBTClassifier:
     """Map a candidate onto Spark's GBT: rounds, depth, step, row sampling, per-node feature share,
     minimum rows per node, minimum gain. (L1/L2 leaf penalties have no Spark GBT counterpart.)
+    ``gamma`` is a loss reduction summed over the rows while Spark's minimum gain is one per row, so it is
+    divided by ``rows``, the training rows of a fit.
     Rounds stop early on the fold's validation share, as in :func:`training.cross_validate`."""
     kw = {"weightCol": weight_col} if weight_col else {}
     if validation_col:
@@ -81,7 +83,7 @@ def boosted_estimator(p: Mapping[str, float], weight_col: str | None, seed: int
     return GBTClassifier(featuresCol="features", labelCol="label", maxIter=int(p["n_estimators"]),
                          maxDepth=int(p["max_depth"]), stepSize=float(p["learning_rate"]),
                          subsamplingRate=float(p["subsample"]), featureSubsetStrategy=str(float(p["colsample_bytree"])),
-                         minInstancesPerNode=int(p["min_child_weight"]), minInfoGain=float(p["gamma"]), seed=seed, **kw)
+                         minInstancesPerNode=int(p["min_child_weight"]), minInfoGain=float(p["gamma"]) / max(1.0, rows), seed=seed, **kw)
 
 
 def search_input(master: DataFrame, threshold: float = R.HIGH_MISSING_THRESHOLD) -> DataFrame:
@@ -92,7 +94,8 @@ def search_input(master: DataFrame, threshold: float = R.HIGH_MISSING_THRESHOLD)
 def run_search(dev: DataFrame, n_trials: int = N_TRIALS, timeout_s: float = TIMEOUT_SECONDS,
                space: Sequence[Dim] = BOOSTED_SPACE, cfg: TR.ModelConfig | None = None, parallelism: int = 8,
                label: str = "TARGET", id_col: str = "SK_ID_CURR", chunk: int = 8) -> tuple[DataFrame, dict]:
-    """Trials table ``(trial, params, cv_auc_mean, cv_auc_std, n_folds, seconds)`` and the best trial.
+    """Trials table ``(trial, params, cv_auc_mean, cv_auc_std, n_folds, seconds)`` and the best trial, which
+    also tells how many of the candidates were tried and whether the time budget ended the search.
 
     Candidates are evaluated in chunks through :func:`training.cross_validate`: the preprocessing
     is fitted once per fold for the whole chunk and every (candidate, fold) fit runs concurrently.
@@ -100,13 +103,14 @@ def run_search(dev: DataFrame, n_trials: int = N_TRIALS, timeout_s: float = TIME
     cfg = cfg or TR.ModelConfig()
     weight = "weight" if "weight" in dev.columns else None
     cands = candidates(n_trials, space, cfg.seed)
+    fit_rows = dev.count() * (cfg.n_folds - 1) / cfg.n_folds * (1 - cfg.validation_fraction)
     rows = []
     t_start = time.monotonic()
     for start in range(0, len(cands), max(1, chunk)):
         if time.monotonic() - t_start > timeout_s:
             break
         t0 = time.monotonic()
-        batch = {f"trial_{i}": boosted_estimator(cands[i], weight, cfg.seed)
+        batch = {f"trial_{i}": boosted_estimator(cands[i], weight, cfg.seed, rows=fit_rows)
                  for i in range(start, min(start + chunk, len(cands)))}
         scores = TR.cross_validate(dev, cfg, label, id_col, parallelism=parallelism, models=batch)
         per = {r["model"]: r for r in scores.groupBy("model").agg(
@@ -122,4 +126,5 @@ def run_search(dev: DataFrame, n_trials: int = N_TRIALS, timeout_s: float = TIME
                                          "n_folds int, seconds double")
     best = trials.agg(F.max_by(F.struct("trial", "params", "cv_auc_mean"),
                                F.struct(F.coalesce("cv_auc_mean", F.lit(-1.0)), -F.col("trial"))).alias("b")).first()["b"]
-    return trials, {"trial": best["trial"], "params": json.loads(best["params"]), "cv_auc_mean": best["cv_auc_mean"]}
+    return trials, {"trial": best["trial"], "params": json.loads(best["params"]), "cv_auc_mean": best["cv_auc_mean"],
+                    "tried": len(rows), "stopped_early": len(rows) < len(cands)}

@@ -5,8 +5,8 @@ task. Both helpers here split the order into many buckets with a *monotone* buck
 
 1. count/sum rows per (group, bucket) - a bounded table (groups x buckets rows);
 2. prefix sums over that small table give each bucket's offset;
-3. the offsets are joined back (broadcast: the table's row count is bounded by construction and is
-   checked before the hint), and a window partitioned by (group, bucket) adds the in-bucket part.
+3. the offsets are joined back (AQE broadcasts them when their measured size allows it), and a window
+   partitioned by (group, bucket) adds the in-bucket part.
 
 Each window partition holds only the rows of one bucket, so the work spreads over all tasks even
 when a single group (e.g. one class label) holds most rows.
@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BUCKET_BITS = 16
-BROADCAST_ROW_LIMIT = 2_000_000
 
 
 def unit_bucket(score: Column, bits: int = BUCKET_BITS) -> Column:
@@ -40,17 +39,6 @@ def _spec(groups: list[str]):
     return Window.partitionBy(*groups) if groups else Window.partitionBy(F.lit(0))
 
 
-def _join_small(big: DataFrame, small: DataFrame, on: list[str]) -> DataFrame:
-    """Join a bounded side table; broadcast only after checking its row count.
-
-    The side table is persisted before the check, so the pass that builds it (one aggregate over
-    the data) runs once and the main plan reads the small cached result."""
-    small = small.persist()
-    n = small.count()
-    side = F.broadcast(small) if n <= BROADCAST_ROW_LIMIT else small
-    return big.join(side, on, "inner")
-
-
 def adaptive_buckets(df: DataFrame, col: str, n_buckets: int = 1 << 12, out_col: str = "_bkt") -> DataFrame:
     """Add a monotone bucket column whose buckets hold about equal numbers of rows.
 
@@ -83,7 +71,7 @@ def running_totals(df: DataFrame, order_col: str, value_cols: Sequence[str], buc
     before = _spec(g).orderBy(border).rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select(*g, "_bkt", *[F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_o_{v}")
                                           for v in value_cols])
-    joined = _join_small(tagged, offsets, [*g, "_bkt"])
+    joined = tagged.join(offsets, [*g, "_bkt"])
     oorder = F.col(order_col).desc() if descending else F.col(order_col).asc()
     upto = Window.partitionBy(*g, "_bkt").orderBy(oorder).rowsBetween(Window.unboundedPreceding, 0)
     out = joined
@@ -108,6 +96,6 @@ def rank_within(df: DataFrame, groups: Sequence[str], order_cols: Sequence[str],
         cols.append(F.sum("_n").over(_spec(g).rowsBetween(Window.unboundedPreceding,
                                                           Window.unboundedFollowing)).alias(total_col))
     offsets = counts.select(*cols)
-    joined = _join_small(tagged, offsets, [*g, "_bkt"])
+    joined = tagged.join(offsets, [*g, "_bkt"])
     w = Window.partitionBy(*g, "_bkt").orderBy(*[F.col(c).asc() for c in order_cols])
     return joined.withColumn(rank_col, F.col("_off") + F.row_number().over(w)).drop("_bkt", "_off")

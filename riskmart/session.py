@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 # Sizing for large inputs (used on non-local masters, only where the cluster has not set a value):
@@ -60,12 +61,14 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting points at shared storage and is used as is. Only when it is unset
-    (local runs and tests) a scratch folder is created here.
+    On a cluster that setting points at shared storage and is used as is; a cluster that does not set it
+    is refused. Only local runs and tests get a scratch folder of their own.
     """
     sc = spark.sparkContext
     current = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="riskmart-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc.getCheckpointDir() is None:
@@ -77,3 +80,11 @@ def shared_path(spark: SparkSession, *parts: str) -> str:
     """Path below the shared checkpoint folder (for written intermediate tables)."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return "/".join([base, *parts])
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written below the shared checkpoint folder and read back: later passes read the table."""
+    spark = df.sparkSession
+    path = shared_path(spark, name, uuid.uuid4().hex)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

@@ -130,3 +130,19 @@ def test_one_class_input_is_undefined_not_an_error(spark):
     df = spark.createDataFrame([(0, 0.2), (0, 0.7)], "label int, score double")
     assert MT.roc_auc(df).first()[0] is None and MT.average_precision(df).first()[0] is None
     assert MT.optimal_threshold(df).first()["threshold"] == 0.5
+
+
+def test_rows_without_score_or_label_count_nowhere(spark):
+    df = spark.createDataFrame([(1, 0.9), (0, 0.2), (1, None), (None, 0.7), (0, 0.8)], "label int, score double")
+    known = df.dropna()
+    for fn in (MT.confusion_matrix, MT.roc_auc, MT.average_precision, MT.classification_report, MT.full_evaluation):
+        assert fn(df).collect() == fn(known).collect()
+    assert (MT.threshold_sweep(df).orderBy("i").collect() == MT.threshold_sweep(known).orderBy("i").collect())
+
+
+def test_metrics_leave_nothing_cached(spark):
+    spark.catalog.clearCache()
+    df = spark.range(500).selectExpr("cast(id % 3 = 0 as int) AS label", "id % 41 / 41D AS score")
+    for fn in (MT.roc_auc, MT.average_precision, MT.roc_curve, MT.pr_curve, MT.threshold_sweep, MT.full_evaluation):
+        fn(df).collect()
+    assert spark._jsparkSession.sharedState().cacheManager().isEmpty()

@@ -67,6 +67,16 @@ def test_search_runs(spark):
     cfg = TR.ModelConfig(n_folds=3)
     trials, best = SE.run_search(dev, n_trials=2, space=space, cfg=cfg)
     assert trials.count() == 2 and best["trial"] in (0, 1)
+    assert best["tried"] == 2 and not best["stopped_early"]
+
+
+def test_every_candidate_splits_its_first_tree(frame):
+    """The configured range of gamma is a loss sum: as a gain per row it would forbid all splits."""
+    n = frame.count()
+    for p in SE.candidates(8):
+        p.update(n_estimators=1, max_depth=3, min_child_weight=1)
+        model = SE.boosted_estimator(p, None, validation_col=None, rows=n).fit(frame)
+        assert model.trees[0].numNodes > 1, p
 
 
 def test_artifacts_round_trip(spark, scratch, frame):

@@ -3,6 +3,7 @@
 import numpy as np
 import pytest
 from pyspark.ml import PipelineModel
+from pyspark.sql import functions as F
 
 from riskmart.operators import prep as R
 from riskmart.operators.quantiles import exact_quantiles
@@ -94,3 +95,12 @@ def test_one_hot_drop_first(spark):
     out = {r["id"]: r for r in R.one_hot_drop_first(df).collect()}
     assert set(out[1].asDict()) == {"id", "c_y", "c_z"}
     assert out[3]["c_y"] == 0 and out[3]["c_z"] == 0 and out[2]["c_y"] == 1
+
+
+def test_large_vocabulary_is_encoded_whole(spark):
+    df = spark.range(50_000).selectExpr("format_string('v%06d', id) AS c", "cast(null as string) AS nothing", "id")
+    model = R.OrdinalIndexer(inputCols=["c", "nothing"]).fit(df)
+    seen = spark.createDataFrame([("v000000",), ("v049999",), ("other",), (None,)], "c string").withColumn("nothing", F.lit("x"))
+    out = [tuple(r) for r in model.transform(seen).collect()]
+    assert out == [(0.0, -1.0), (49_999.0, -1.0), (-1.0, -1.0), (-1.0, -1.0)]
+    assert model.transform(df).where("c <> id").count() == 0
