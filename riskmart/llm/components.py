@@ -1,9 +1,10 @@
 """Distributed union-find: connected components of an edge table by alternating star operations.
 
 Large-star hangs every larger neighbour of a node on the smallest node of its neighbourhood, small-star
-does so for the smaller ones; both are one partially aggregated minimum and one equi-join, so a hub node
-never meets its whole neighbourhood in one task. Every round is written to the shared folder and read
-back, so the lineage stays short and a lost executor costs one round at most.
+does so for the smaller ones; both are one partially aggregated minimum and one equi-join. The minima are
+written before the join: it then reads plain shuffles on both sides, which AQE splits where a hub node holds
+many edges (behind an aggregate it would not). Every round is written to the shared folder and read back, so
+the lineage stays short and a lost executor costs one round at most.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from riskmart.llm.common import stored
 
 def _star(edges: DataFrame) -> DataFrame:
     """Edges (a, b) -> (a, smallest of a and its b's) joined back to every (a, b)."""
-    low = edges.groupBy("a").agg(F.min("b").alias("m"))
+    low = stored(edges.groupBy("a").agg(F.min("b").alias("m")), "lowest")
     return edges.join(low, "a").select("a", "b", F.least("a", "m").alias("m"))
 
 
