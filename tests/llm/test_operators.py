@@ -403,6 +403,22 @@ def test_pii_terms(spark):
     assert len(out) == len(data)
 
 
+def test_pii_terms_of_single_texts(spark):
+    data = [(i, f"common words here number{i} filler 天气 天很好") for i in range(400)]
+    data += [(500, "Li Zoe\u0308 said common words to li@q.org 王小明天很好")]
+    data += [(k, "quibble of copies k@l.org") for k in range(600, 610)]
+    out = {r.doc_id: r for r in pii.sanitise(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    text = data[400][1]
+    assert [text[x.s:x.e] for x in out[500].term] == ["Li", "Zoe\u0308", "said", "to", "王小", "明", "天"]
+    assert out[500].sanitised == "<TERM> <TERM> <TERM> common words <TERM> <EMAIL> <TERM><TERM><TERM>很好"
+    assert all([(x.s, x.e) for x in out[k].term] == [(0, 7), (8, 10), (11, 17)] for k in range(600, 610))
+
+
+def test_pii_terms_act_on_the_given_tables(spark):
+    got = catalog.QUERIES["op10_disclosure_sanitiser"](spark, SF)
+    assert got.filter("spans like '%term:%'").count() > 0
+
+
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_queries_run(spark, name):
     got = catalog.QUERIES[name](spark, SF)
