@@ -108,6 +108,22 @@ def test_line_dedup(spark, docs, texts, empty):
     assert line_dedup.line_duplicates(empty).count() == 0 and line_dedup.without_duplicates(empty).columns == empty.columns
 
 
+def test_line_dedup_links_every_pair_of_a_bucket(spark, monkeypatch):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choices("abcdefgh", k=7))
+    strangers = [" ".join(word() for _ in range(30)) for _ in range(60)]
+    near = [f"{' '.join(x.split()[:-1])} changed" for x in strangers[:20]]
+    docs = spark.createDataFrame(list(enumerate(strangers + near)), "doc_id long, text string")
+    lines = line_dedup.lines_of(docs)
+    bucket = lines.select("line_id", F.col("doc_id").alias("first_doc"), F.array(F.lit(1).cast("long")).alias("bands"))
+    for chunk in (512, 7):
+        monkeypatch.setattr(line_dedup, "CHUNK", chunk)
+        groups = collections.defaultdict(set)
+        for r in line_dedup.line_components(lines, bucket).collect():
+            groups[r.component].add(r.first_doc)
+        assert sorted(map(sorted, groups.values())) == [[i, i + 60] if i < 20 else [i] for i in range(60)]
+
+
 def test_reshard(spark, docs, texts, empty):
     path = scratch(spark, "test")
     old = F.pmod(F.crc32(F.coalesce("text", F.lit(""))), F.lit(5))
