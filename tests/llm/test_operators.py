@@ -124,6 +124,20 @@ def test_line_dedup_links_every_pair_of_a_bucket(spark, monkeypatch):
         assert sorted(map(sorted, groups.values())) == [[i, i + 60] if i < 20 else [i] for i in range(60)]
 
 
+def test_line_dedup_sees_the_ends_of_long_words(spark):
+    rng = random.Random(6)
+    raw = lambda: " " * 12 + '"data:image/' + "".join(rng.choices("abcdefghijklmnop0123456789", k=160))
+    same = " ".join(f"漢{i}字 𝒳 word{i}" for i in range(20))
+    two = [("Read the full story here now https://news.example.com/2019/alpha-report-on-rivers",
+            "Read the full story here now https://news.example.com/2024/budget-vote-delayed-x"), (raw(), raw()),
+           (f"{same} one end", f"{same} one enD")]
+    lines = line_dedup.lines_of(spark.createDataFrame(list(enumerate(x for p in two for x in p)), "doc_id long, text string")).cache()
+    ids = {r.doc_id: r.line_id for r in lines.collect()}
+    pairs = spark.createDataFrame([(ids[0], ids[1]), (ids[2], ids[3]), (ids[4], ids[5])], "a long, b long")
+    got = line_dedup._verified(lines, lines.select("line_id", F.col("doc_id").alias("first_doc")), pairs).collect()
+    assert [tuple(r) for r in got] == [(ids[4], ids[5])]
+
+
 def test_reshard(spark, docs, texts, empty):
     path = scratch(spark, "test")
     old = F.pmod(F.crc32(F.coalesce("text", F.lit(""))), F.lit(5))
