@@ -5,7 +5,8 @@ Per document a few statistics of the whole text; per rule (statistic above a cut
 reject; the exact binomial test of "the false-rejection rate is RISK / rules or more" must reject at
 ``LEVEL`` divided by all tests (strata x rules x cutoffs, Bonferroni). Since all those tests hold at once, any
 certified cutoff may be chosen after seeing the data: the one that rejects most bad documents net of
-good ones, the loosest on ties. A rule without a certified, useful cutoff rejects nothing in that stratum.
+good ones, the loosest on ties. Every stratum is tested on its own, however small: a rule without a certified,
+useful cutoff rejects nothing in that stratum, and a stratum without labels loses nothing beyond the base rule.
 So with probability 1 - LEVEL every stratum loses less than RISK of its good documents to the method.
 """
 
@@ -20,8 +21,6 @@ from riskmart.llm.common import BLANKS, stored, table
 
 #: False rejections allowed in a stratum over all rules; chance of any wrong certificate.
 RISK, LEVEL = 0.05, 0.05
-#: Strata with fewer good holdout documents are pooled (none of their cutoffs could be certified).
-MIN_STRATUM = 1000
 GRID = 64
 #: Rule -> statistic scaled so that 1/GRID steps of it from 0 to 1 are the cutoffs.
 RULES = {
@@ -92,25 +91,22 @@ def binomial_tail(n: int, x: int, p: float) -> float:
 
 
 def certified_cutoffs(statistics: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", label_col: str = "quality",
-                      risk: float = RISK, level: float = LEVEL, min_stratum: int = MIN_STRATUM) -> dict[str, dict[str, int]]:
+                      risk: float = RISK, level: float = LEVEL) -> dict[str, dict[str, int]]:
     """Cutoff (grid step) by stratum and rule from the labelled documents that pass the base rule; the key
-    ``None`` holds the pooled strata. Null labels are left out, a repeated id counts once (its lowest label)."""
+    ``None`` stands for all other strata and is empty. Null labels are left out, a repeated id counts once (its lowest label)."""
     own = (labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("q")).groupBy("doc_id").agg(F.min("q").alias("q"))
            .filter("q is not null"))
     held = statistics.filter(~base_failed()).join(own, "doc_id")
-    size = held.groupBy("stratum").agg(F.sum((F.col("q") == 1).cast("long")).alias("good"))
-    held = (held.join(size.filter(F.col("good") >= min_stratum).select("stratum", F.lit(True).alias("own")), "stratum", "left")
-            .withColumn("stratum", F.when(F.col("own"), F.col("stratum"))))
     steps = held.select("stratum", "q", F.explode(F.array(*[
         F.struct(F.lit(r).alias("rule"), _level(r).alias("step")) for r in RULES])).alias("x"))
-    # bounded: strata with min_stratum good documents x rules x (GRID + 2) steps
+    # bounded: strata with labels x rules x (GRID + 2) steps
     rows = (steps.groupBy("stratum", "x.rule", "x.step").agg(F.sum((F.col("q") == 1).cast("long")).alias("good"),
                                                           F.sum((F.col("q") != 1).cast("long")).alias("bad")).collect())
     counts: dict[tuple, dict[int, tuple[int, int]]] = {}
     for r in rows:
         counts.setdefault((r.stratum, r.rule), {})[r.step] = (r.good, r.bad)
     tests = max(1, len(counts) * (GRID + 1))
-    out: dict[str, dict[str, int]] = {}
+    out: dict[str, dict[str, int]] = {None: {}}
     for (stratum, rule), by in sorted(counts.items(), key=str):
         n, good, bad, best = sum(g for g, _ in by.values()), 0, 0, None
         for k in range(GRID, -1, -1):            # from the loosest cutoff on
@@ -119,9 +115,8 @@ def certified_cutoffs(statistics: DataFrame, labels: DataFrame, *, id_col: str =
             if bad > good and (best is None or bad - good > best[0]) and \
                     binomial_tail(n, good, risk / len(RULES)) <= level / tests:
                 best = (bad - good, k)
-        out.setdefault(stratum, {})
         if best:
-            out[stratum][rule] = best[1]
+            out.setdefault(stratum, {})[rule] = best[1]
     return out
 
 
@@ -129,14 +124,12 @@ def verdicts(statistics: DataFrame, cutoffs: dict[str, dict[str, int]]) -> DataF
     """``statistics`` with base_failed and kept."""
     spark = statistics.sparkSession
     names = list(RULES)
-    schema = "stratum string, known boolean, " + ", ".join(f"c_{r} int" for r in names)
-    own = spark.createDataFrame([(s, True, *[c.get(r) for r in names]) for s, c in cutoffs.items() if s is not None], schema)
-    rest = cutoffs.get(None, {})
+    schema = "stratum string, " + ", ".join(f"c_{r} int" for r in names)
+    own = spark.createDataFrame([(s, *[c.get(r) for r in names]) for s, c in cutoffs.items() if s is not None], schema)
     joined = statistics.join(own, "stratum", "left")
     rejected = F.lit(False)
     for r in names:
-        cut = F.when(F.col("known"), F.col(f"c_{r}")).otherwise(F.lit(rest.get(r)).cast("int"))
-        rejected = rejected | F.coalesce(_level(r) > cut, F.lit(False))
+        rejected = rejected | F.coalesce(_level(r) > F.col(f"c_{r}"), F.lit(False))
     return (joined.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
             .select(*statistics.columns, "base_failed", "kept"))
 

@@ -331,6 +331,15 @@ def test_certified_cutoffs(spark):
     assert few == {None: {}}
 
 
+def test_small_strata_are_not_pooled(spark):
+    data = [(i, lang, 100, 500, sym, 0, 0, 5) for i, (lang, sym) in enumerate(
+        [("en", 0)] * 900 + [("de", 400)] * 8 + [("fr", 0)] * 900 + [("en", 400)] * 100 + [("es", 0)] * 900 + [("fr", 400)] * 100)]
+    stats = spark.createDataFrame(data, "doc_id long, stratum string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long")
+    labels = stats.select("doc_id", ((F.col("n_symbols") == 0) | (F.col("stratum") == "de")).cast("int").alias("quality"))
+    cut = quality_rules.certified_cutoffs(stats, labels)         # pooled, the eight good ones of de would go
+    assert cut == {None: {}} and quality_rules.verdicts(stats, cut).filter("NOT kept").count() == 0
+
+
 def test_ngram_join(spark, docs, texts, empty):
     sets = []
     for t in texts:
