@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from riskmart.llm import (binary_output, decontamination, line_dedup, ngram_join, packing, pii, quality_rules,
-                          resharding, token_counts, toxicity)
+from riskmart.llm import (binary_output, conversation_repair, decontamination, line_dedup, merkle_manifest, ngram_join, packing,
+                          pii, quality_rules, resharding, simhash_join, token_counts, toxicity)
 
 QUERIES = {
     "op1_fuzzy_lines": line_dedup.op1_fuzzy_lines,
@@ -16,5 +16,8 @@ QUERIES = {
     "op8_separator_scan": token_counts.op8_separator_scan,
     "op9_retrieval_packing": packing.op9_retrieval_packing,
     "op10_disclosure_sanitiser": pii.op10_disclosure_sanitiser,
+    "op11_merkle_manifest": merkle_manifest.op11_merkle_manifest,
+    "op12_conversation_repair": conversation_repair.op12_conversation_repair,
+    "op13_simhash_trie": simhash_join.op13_simhash_trie,
 }
 ORACLES: dict[str, str] = {}
