@@ -31,7 +31,7 @@ class Dim:
     kind: str = "float"   # "int", "float" or "log"
 
 
-# Fixed values (must equal the reference): the boosted-model search ranges.
+# Fixed values (must equal the reference): the search ranges of the two booster families.
 BOOSTED_SPACE = (
     Dim("n_estimators", 200, 1200, "int"),
     Dim("max_depth", 3, 9, "int"),
@@ -40,7 +40,21 @@ BOOSTED_SPACE = (
     Dim("colsample_bytree", 0.5, 1.0),
     Dim("min_child_weight", 1, 20, "int"),
     Dim("gamma", 0.0, 5.0),
+    Dim("reg_alpha", 1e-4, 10.0, "log"),
+    Dim("reg_lambda", 1e-4, 10.0, "log"),
 )
+LEAFWISE_SPACE = (
+    Dim("n_estimators", 200, 1200, "int"),
+    Dim("learning_rate", 0.01, 0.3, "log"),
+    Dim("num_leaves", 20, 300, "int"),
+    Dim("max_depth", 3, 12, "int"),
+    Dim("min_child_samples", 20, 200, "int"),
+    Dim("subsample", 0.5, 1.0),
+    Dim("colsample_bytree", 0.5, 1.0),
+    Dim("reg_alpha", 1e-4, 10.0, "log"),
+    Dim("reg_lambda", 1e-4, 10.0, "log"),
+)
+SPACES = {"xgboost": BOOSTED_SPACE, "lightgbm": LEAFWISE_SPACE}
 N_TRIALS, TIMEOUT_SECONDS = 100, 3600
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskmart.plans import q_features, q_metrics, q_prep, q_quality, q_scoring, q_training  # noqa: F401
+from riskmart.plans import q_boosting, q_features, q_monitoring, q_metrics, q_prep, q_quality, q_scoring, q_training  # noqa: F401
 from riskmart.plans.registry import ORACLES, QUERIES
 
 
