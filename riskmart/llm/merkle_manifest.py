@@ -33,7 +33,7 @@ RUN = 3
 #: Levels that one recursive query climbs by shuffled joins.
 BAND = 4
 #: Rows of the upper levels (at most 200 bytes each) that may be broadcast.
-BROADCAST_NODES = 100_000
+BROADCAST_NODES = 10_000
 #: Level of the tree of subroots; a group's own levels stay below it (3^36 > 2^56 leaves).
 TOP = 64
 _LEVEL = 56
