@@ -34,3 +34,14 @@ def words(text: Column) -> Column:
     """Array of the words ``[^\\x20\\x09-\\x0D]+`` of a text; empty for null, empty or blank texts."""
     trimmed = F.regexp_replace(F.coalesce(text, F.lit("")), f"^[{BLANKS}]+", "")
     return F.filter(F.split(trimmed, f"[{BLANKS}]+"), lambda w: w != "")
+
+
+def row_key(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Column:
+    """Fingerprint of a row's id and text, bound to ``docs``: tells rows apart that have no id or repeat one."""
+    return F.xxhash64(docs[id_col].cast("long"), docs[text_col].cast("string"))
+
+
+def without_rows(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose :func:`row_key` is among the one column of ``keys``; any column names may clash."""
+    gone = keys.toDF(f"gone_{uuid.uuid4().hex}")
+    return docs.join(gone, row_key(docs) == gone[gone.columns[0]], "left_anti")

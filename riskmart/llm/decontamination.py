@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskmart.llm.common import table
+from riskmart.llm.common import row_key, table, without_rows
 
 #: Edits allowed per character of an item.
 RATE = 0.08
@@ -165,6 +165,6 @@ def op3_edit_decontamination(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents that contain a benchmark item go."""
-    found = contamination(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: documents that contain a benchmark item go, each row by its own text (also rows without an id)."""
+    rows = docs.select(row_key(docs).alias("doc_id"), "text")
+    return without_rows(docs, contamination(rows, table(spark, sf_dir, "benchmark")).select("doc_id").distinct())

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskmart.llm.common import stored, table
+from riskmart.llm.common import row_key, stored, table, without_rows
 from riskmart.llm.components import components
 from riskmart.llm.shingles import shingle_sets
 
@@ -301,6 +301,18 @@ def op7_ngram_jaccard(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: of each component the document with the smallest id stays."""
-    gone = near_duplicates(docs).filter("component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Pipeline stage: of each component one row stays, that with the smallest id (rows without one last; ties: the smaller
+    :func:`row_key`). Of rows equal in id and text one stays. Rows without words are copies of nothing and stay."""
+    rows = docs.select(row_key(docs).alias("key"), F.col("doc_id").cast("long").alias("id"), "text")
+    found = near_duplicates(rows, id_col="key").select(F.col("doc_id").alias("key"), "n_shingles", F.col("component_id").alias("root"))
+    found = stored(found.filter("n_shingles > 0").distinct().join(rows.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("n")), "key"), "near-rows")
+    order = F.struct(F.col("id").isNull(), "id", "key")
+    first = found.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.key").alias("first"))
+    out = without_rows(docs, found.join(first, "root").filter("key <> first").select("key"))
+    again = found.filter("n > 1").select("key")
+    if again.isEmpty():
+        return out
+    once = out.withColumn("key" + "_".join(docs.columns), row_key(out))          # a name that clashes with none
+    key = once.columns[-1]
+    some = once.join(again.toDF(key), key, "left_semi").dropDuplicates([key])
+    return once.join(again.toDF(key), key, "left_anti").select(*docs.columns).unionByName(some.select(*docs.columns))

@@ -143,6 +143,9 @@ def op5_nnpu_toxicity(spark, sf_dir: str) -> DataFrame:
 
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents scored ``CUT`` or more go."""
+    """Pipeline stage: documents scored ``CUT`` or more go. Rows without an id and rows that repeat one are judged by their own
+    texts; a column ``toxic_score`` of the input stays as it is."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    return score(docs, model).filter(F.col("toxic_score") < CUT).select(*docs.columns)
+    other = "_".join(["given", *docs.columns])            # longer than every column's name, so it clashes with none
+    scored = score(docs.withColumnRenamed("toxic_score", other), model).filter(F.col("toxic_score") < CUT).drop("toxic_score")
+    return scored.withColumnRenamed(other, "toxic_score").select(*docs.columns)

@@ -80,12 +80,7 @@ def test_line_dedup(spark, docs, texts, empty):
             if WORD.search(line):
                 lines[line].append((i, k))
 
-    def windows(line):
-        b = line.encode()
-        dense = 16 * b.count(b" ") >= len(b)
-        return {b[p:p + 12] for p in range(len(b)) if p == 0 or (b[p - 1] == 32 and b[p] != 32 if dense else p + 1 <= len(b) - 11)}
-
-    sets = {x: windows(x) for x in lines}
+    sets = {x: {x[p:p + 5] for p in range(max(1, len(x) - 4))} for x in lines}
     parent = {x: x for x in lines}
     for a in lines:
         for b in lines:
@@ -108,6 +103,49 @@ def test_line_dedup(spark, docs, texts, empty):
     assert line_dedup.line_duplicates(empty).count() == 0 and line_dedup.without_duplicates(empty).columns == empty.columns
 
 
+def test_line_dedup_finds_the_alike_lines_of_a_table(spark):
+    """All pairs of lines with a Jaccard similarity of 0.75 or more, found by a prefix filter, against the components."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    lines = sorted({x for r in rows.collect() for x in (r.text or "").split("\n") if WORD.search(x)})
+    sets = [{x[p:p + 5] for p in range(max(1, len(x) - 4))} for x in lines]
+    often = collections.Counter(s for own in sets for s in own)
+    index, pairs = collections.defaultdict(list), []
+    for i, own in enumerate(sets):
+        near = set()
+        for s in sorted(own, key=lambda s: (often[s], s))[:len(own) - -(-3 * len(own) // 4) + 1]:
+            near.update(index[s])
+            index[s].append(i)
+        for j in near:
+            n = len(own & sets[j])
+            if 100 * n >= 75 * (len(own) + len(sets[j]) - n):
+                pairs.append((i, j))
+    got = line_dedup.line_duplicates(rows)
+    text = {r.line_id: r.line for r in line_dedup.lines_of(rows).select("line_id", "line").distinct().collect()}
+    component = {text[r.line_id]: r.component for r in got.select("line_id", "component").distinct().collect()}
+    assert len(component) == len(lines)
+    found = [component[lines[i]] == component[lines[j]] for i, j in pairs]
+    assert len(pairs) > 200 and sum(found) >= 0.95 * len(pairs), (sum(found), len(pairs))
+    parent = {x: x for x in lines}                                              # and nothing else is linked
+    for i, j in pairs:
+        parent[find(parent, lines[i])] = find(parent, lines[j])
+    groups = collections.defaultdict(set)
+    for x in lines:
+        groups[component[x]].add(find(parent, x))
+    assert all(len(v) == 1 for v in groups.values())
+
+
+def test_line_dedup_odd_rows(spark):
+    line = "a line that is long enough to be told from others"
+    rows = [(1, f"{line}\nonly here", 5, 6), (1, f"{line}\nother text of the same id", 7, 8), (1, f"{line}\nonly here", 9, 9), (2, line, 0, 0), (None, line, 1, 1),
+            (None, "no id", 1, 1), (3, None, 2, 2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _gone long, _gone_id long")
+    got = sorted(((r.doc_id, r.text, r._gone) for r in line_dedup.without_duplicates(df).collect()), key=str)
+    kept = [t for d, t, _ in got if d == 1 and t.startswith(line)]
+    assert len(got) == 7 and [(d, t) for d, t, _ in got if d != 1] == [(2, ""), (3, None), (None, line), (None, "no id")]
+    # one of the two texts with id 1 keeps the line, and every other line of both stays
+    assert len({t for t in kept}) == 1 and {t.split("\n")[-1] for d, t, _ in got if d == 1} == {"only here", "other text of the same id"}
+
+
 def test_line_dedup_links_every_pair_of_a_bucket(spark, monkeypatch):
     rng = random.Random(8)
     word = lambda: "".join(rng.choices("abcdefgh", k=7))
@@ -461,7 +499,7 @@ def test_pii_terms_act_on_the_given_tables(spark):
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
 def test_queries_run(spark, name):
     got = catalog.QUERIES[name](spark, SF)
-    assert got.count() >= 0 and (name.startswith("op8") or "doc_id" in got.columns)
+    assert got.count() >= 0 and (name.startswith("op8") or "doc_id" in got.columns or "conv_id" in got.columns)
 
 
 def test_pipeline(spark):
@@ -473,3 +511,23 @@ def test_pipeline(spark):
         assert stage(spark, docs.limit(0), SF).schema.names == docs.columns
     out = corpus_pipeline.run(spark, SF)
     assert out.select("doc_id").distinct().count() <= docs.count() and out.count() > 0
+
+
+def test_stages_judge_rows_not_ids(spark):
+    """Rows without an id, repeated ids and rows, and columns with the names that the stages use inside."""
+    rng = random.Random(12)
+    say = lambda n: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(n))
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy("item_id").first().text
+    a, b, c = say(80), say(80), say(80)
+    near = a.rsplit(" ", 1)[0] + " other"
+    rows = [(None, a, 9.5, 1, 7), (4, near, 9.5, 1, 7), (2, b, 9.5, 1, 7), (2, c, 9.5, 1, 7), (2, c, 9.5, 1, 7), (None, item, 9.5, 1, 7), (5, f"{say(20)} {item}", 9.5, 1, 7),
+            (5, say(30), 9.5, 1, 7), (None, None, 9.5, 1, 7), (6, "", 9.5, 1, 7), (6, "", 9.5, 1, 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic_score double, key long, cls long")
+    out = ngram_join.stage(spark, df, SF)
+    assert out.columns == df.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(4, near), (2, b), (2, c), *[(d, t) for d, t, *_ in rows[5:]]], key=str)
+    out = decontamination.stage(spark, df, SF)
+    assert sorted((r.text or "" for r in out.collect())) == sorted(t or "" for _, t, *_ in rows if not t or item not in t) and out.columns == df.columns
+    out = toxicity.stage(spark, df, SF)
+    assert out.columns == df.columns and {r.toxic_score for r in out.collect()} <= {9.5}
