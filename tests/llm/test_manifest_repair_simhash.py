@@ -68,7 +68,7 @@ def manifest_rows(df):
     return sorted(((r.doc_id, r.leaf, r.subroot, r.root, r.proof_sha256, r.folded_root, r.verified) for r in df.collect()), key=repr)
 
 
-@pytest.mark.parametrize("sizes", [{"a": 1}, {"a": 2, None: 1}, {"b": 28, "a": 9, "ä": 10, "Z": 1, None: 82, "": 3}])
+@pytest.mark.parametrize("sizes", [{"a": 1}, {"b": 10, "ä": 4, "Z": 1, None: 28, "": 3}])
 def test_manifest_equals_brute_force(spark, monkeypatch, sizes):
     monkeypatch.setattr(MM, "BROADCAST_NODES", 20)             # lower bands by shuffled joins
     monkeypatch.setattr(MM, "BAND", 2)
