@@ -3,9 +3,10 @@
   python -m riskmart build-features --raw DIR [--fmt csv|parquet] --out DIR [--force] [--skip-validation]
   python -m riskmart validate       --raw DIR [--fmt csv|parquet]
   python -m riskmart train          --raw DIR [--fmt ...] --models DIR [--config YAML] [--version v2]
-  python -m riskmart tune           --raw DIR [--fmt ...] --out DIR [--trials N] [--timeout S] [--config YAML]
+  python -m riskmart tune           --raw DIR [--fmt ...] --out DIR [--trials N] [--timeout S] [--config YAML] [--family xgboost|lightgbm]
   python -m riskmart explain        --raw DIR [--fmt ...] --models DIR --out DIR
-  python -m riskmart score          --requests DIR --out DIR --models DIR [--stream]
+  python -m riskmart score          --requests DIR --out DIR --models DIR [--version V] [--stream [--rejects DIR]]
+  python -m riskmart activate       --models DIR --version V
 """
 
 from __future__ import annotations
@@ -70,7 +71,12 @@ def cmd_tune(args) -> dict:
     cfg = _cfg(args)
     master = SE.search_input(M.build_master(_tables(spark, args)))
     dev, _ = development_split(master, cfg)
-    trials, best = SE.run_search(dev, args.trials, args.timeout, cfg=cfg)
+    if args.family:
+        from riskmart.operators import study as ST
+
+        trials, best = ST.tune_family(dev, args.family, cfg, n_trials=args.trials, timeout_s=args.timeout)
+    else:
+        trials, best = SE.run_search(dev, args.trials, args.timeout, cfg=cfg)
     TB.write_table(trials, f"{args.out.rstrip('/')}/search_trials")
     return best
 
@@ -91,10 +97,10 @@ def cmd_score(args) -> dict:
     from riskmart.operators import quality as Q
     from riskmart.operators import scoring as SC
     from riskmart.operators import training as TR
-    from riskmart.streaming.scoring_stream import REQUEST_SCHEMA, start_scoring_stream
+    from riskmart.streaming.scoring_stream import REQUEST_SCHEMA, start_scoring_service, start_scoring_stream
 
     spark = _spark()
-    model, meta = TR.load_artifacts(args.models)
+    model, meta = TR.load_artifacts(args.models, (args.version,) if args.version else None)
     names = meta["feature_names"]
     threshold = float(meta.get("threshold", 0.5))
 
@@ -106,6 +112,10 @@ def cmd_score(args) -> dict:
         decided = [c for c in out.columns if c not in ("id", "is_valid", "reasons")]
         return out.withColumns({c: F.when(F.col("is_valid") == 1, F.col(c)) for c in decided})   # rejected: no decision
 
+    if args.stream and args.rejects:
+        q = start_scoring_service(spark, args.requests, args.out, args.rejects, transform, delay=args.duplicate_delay)
+        q.awaitTermination()
+        return {"status": "stream finished", "output": args.out, "rejects": args.rejects}
     if args.stream:
         q = start_scoring_stream(spark, args.requests, args.out, {}, 0.0, transform=transform)
         q.awaitTermination()
@@ -114,6 +124,13 @@ def cmd_score(args) -> dict:
     return {"status": "scored", "output": args.out}
 
 
+def cmd_activate(args) -> dict:
+    from riskmart.operators import registry as REG
+
+    REG.activate(_spark(), args.models, args.version)
+    return {"status": "active", "version": args.version}
+
+
 def main(argv=None) -> int:
     p = argparse.ArgumentParser(prog="riskmart")
     sub = p.add_subparsers(dest="cmd", required=True)
@@ -132,13 +149,20 @@ def main(argv=None) -> int:
     sp = sub.add_parser("train"); common(sp); sp.add_argument("--models", required=True)
     sp.add_argument("--version", default="v2"); sp.set_defaults(fn=cmd_train)
     sp = sub.add_parser("tune"); common(sp); sp.add_argument("--out", required=True)
+    sp.add_argument("--family", choices=["xgboost", "lightgbm"], help="adaptive search of a booster family with pruning")
     sp.add_argument("--trials", type=int, default=100); sp.add_argument("--timeout", type=float, default=3600.0)
     sp.set_defaults(fn=cmd_tune)
     sp = sub.add_parser("explain"); common(sp); sp.add_argument("--models", required=True)
     sp.add_argument("--out", required=True); sp.set_defaults(fn=cmd_explain)
     sp = sub.add_parser("score"); common(sp, raw=False); sp.add_argument("--requests", required=True)
     sp.add_argument("--out", required=True); sp.add_argument("--models", required=True)
-    sp.add_argument("--stream", action="store_true"); sp.set_defaults(fn=cmd_score)
+    sp.add_argument("--version", help="model version (default: the active one)")
+    sp.add_argument("--stream", action="store_true")
+    sp.add_argument("--rejects", help="with --stream: folder of the rejected requests; repeated request ids are scored once")
+    sp.add_argument("--duplicate-delay", default="1 hour", help="for how long a request id is remembered")
+    sp.set_defaults(fn=cmd_score)
+    sp = sub.add_parser("activate"); sp.add_argument("--models", required=True); sp.add_argument("--version", required=True)
+    sp.set_defaults(fn=cmd_activate)
 
     args = p.parse_args(argv)
     print(json.dumps(args.fn(args), default=str))

@@ -72,10 +72,6 @@ def flag_ge(c: ColumnOrName, value) -> Column:
     return flag(_col(c) >= _lit(value))
 
 
-def flag_lt(c: ColumnOrName, value) -> Column:
-    return flag(_col(c) < _lit(value))
-
-
 def flag_in(c: ColumnOrName, values: Iterable) -> Column:
     return flag(_col(c).isin(list(values)))
 
@@ -166,10 +162,6 @@ def sum0(c: ColumnOrName) -> Column:
 # Column-name selection helpers (P-10, P-14)
 # ---------------------------------------------------------------------------
 
-def col_or_default(columns: Sequence[str], name: str, default=0) -> Column:
-    return F.col(name) if name in columns else F.lit(default)
-
-
 def prefixed(columns: Sequence[str], prefixes: Sequence[str]) -> list[str]:
     return [c for c in columns if any(c.startswith(p) for p in prefixes)]
 
@@ -189,13 +181,11 @@ RISK_BANDS = [
 
 # Fixed values (must equal the reference): recommendation per band, same cut points.
 RECOMMENDATIONS = [
-    (0.10, "Approve", "Strong repayment indicators. Standard terms apply."),
-    (0.25, "Approve with standard review", "Good risk profile."),
-    (0.45, "Manual review required",
-     "Moderate risk. Consider requesting additional documentation or co-applicant."),
-    (0.65, "Senior review required",
-     "High risk. Consider higher down payment or collateral requirement."),
-    (None, "Decline recommended", "Very high default risk based on available information."),
+    (0.10, "Approve"),
+    (0.25, "Approve with standard review"),
+    (0.45, "Manual review required"),
+    (0.65, "Senior review required"),
+    (None, "Decline recommended"),
 ]
 
 

@@ -65,14 +65,17 @@ def linear_contributions(df: DataFrame, coefficients: Mapping[str, float], inter
 
 
 def vector_contributions(df: DataFrame, features_col: str, names: Sequence[str], coefficients: Sequence[float],
-                         intercept: float, id_col: str) -> DataFrame:
-    """Linear contributions for an assembled feature vector (e.g. a fitted LogisticRegression)."""
+                         intercept: float, id_col: str, background: DataFrame | None = None) -> DataFrame:
+    """Linear contributions for an assembled feature vector (e.g. a fitted LogisticRegression); ``background``: rows with the
+    same vector column whose means are the expectation (default: the explained rows)."""
     from pyspark.ml.functions import vector_to_array
 
-    arr = df.select(F.col(id_col), vector_to_array(features_col).alias("_v"))
-    cols = {n: F.col("_v")[i] for i, n in enumerate(names)}
-    flat = arr.select(F.col(id_col), *[c.alias(n) for n, c in cols.items()])
-    return linear_contributions(flat, dict(zip(names, coefficients)), intercept, id_col)
+    def flat(rows: DataFrame) -> DataFrame:
+        arr = rows.select(F.col(id_col), vector_to_array(features_col).alias("_v"))
+        return arr.select(F.col(id_col), *[F.col("_v")[i].alias(n) for i, n in enumerate(names)])
+
+    return linear_contributions(flat(df), dict(zip(names, coefficients)), intercept, id_col,
+                                None if background is None else flat(background))
 
 
 def completeness_gap(contribs: DataFrame) -> DataFrame:

@@ -16,13 +16,15 @@ import random
 import time
 from collections.abc import Callable, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 from statistics import NormalDist, median
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskmart.operators.search import Dim, candidates
+from riskmart.operators.search import N_TRIALS, SPACES, TIMEOUT_SECONDS, Dim, candidates
+from riskmart.session import written
 
 # Fixed values (must equal the reference): trials before the sampler adapts and before anything is pruned, 10 each.
 STARTUP = 10
@@ -173,23 +175,53 @@ def best_trial(means: DataFrame) -> DataFrame:
     return (means.where("cv_auc_mean IS NOT NULL").agg(F.max_by(F.struct(*means.columns), order).alias("b")).where("b IS NOT NULL").select("b.*"))
 
 
-def boosted_objective(dev: DataFrame, features: Sequence[str], family: str, doc: Mapping | None = None, *, n_folds: int = 5,
-                      label: str = "label", id_col: str = "id", seed: int = 42) -> Callable[[Mapping, int], float]:
-    """Objective of a study over a booster family: AUC of a fold's rows by a model fitted on the other folds, all rounds (no
-    early stopping inside folds). Rows are dealt to folds by the class ratio."""
-    from dataclasses import replace
-
+def family_objective(dev: DataFrame, family: str, cfg=None, label: str = "TARGET", id_col: str = "SK_ID_CURR",
+                     exclude: Sequence[str] = ()) -> Callable[[Mapping, int], float]:
+    """Objective of a study over a booster family: exact AUC on a fold's rows of a model fitted on the other folds, all
+    rounds (no early stopping inside folds). The preprocessing is fitted once per fold, and the fold's vectors are
+    written to the shared folder for all trials."""
     from riskmart.operators import boosting as B
     from riskmart.operators import metrics as MT
+    from riskmart.operators import prep as R
     from riskmart.operators import splits as S
-
-    base = replace(B.family_params(family, doc), patience=None)
-    names = {theirs: ours for theirs, ours in B._FAMILIES[family].items()}
-    folded = S.stratified_folds(dev, label, id_col, n_folds, test_fraction=0.0, seed=seed)
+    from riskmart.operators import training as TR
+    from riskmart.operators.booster_stage import Booster
+
+    cfg = cfg or TR.ModelConfig()
+    folded = written(S.stratified_folds(dev, label, id_col, cfg.n_folds, test_fraction=0.0, seed=cfg.seed), "study-folds")
+    drop = {*exclude, id_col, label, "label", "weight", "fold"}
+    names = [c for c in folded.columns if c not in drop]
+    base = replace(B.family_params(family, cfg.boosters), patience=None, seed=cfg.seed)
+    locks = [Lock() for _ in range(cfg.n_folds)]
+    held: dict[int, tuple[DataFrame, DataFrame]] = {}
+
+    def vectors(k: int) -> tuple[DataFrame, DataFrame]:
+        with locks[k]:
+            if k not in held:
+                train = folded.where(F.col("fold") != k)
+                prep = R.build_preprocessor(train.select(*names))[0].fit(train)
+                held[k] = tuple(written(prep.transform(part).select(id_col, F.col(label).cast("double").alias("label"), "features"), "study-vectors")
+                                for part in (train, folded.where(F.col("fold") == k)))
+        return held[k]
 
     def objective(params: Mapping, k: int) -> float:
-        p = replace(base, **{names[c]: v for c, v in params.items() if c in names})
-        model = B.fit(folded.where(F.col("fold") != k), features, p, label=label, id_col=id_col)
-        return MT.roc_auc(B.predict(model, folded.where(F.col("fold") == k), [label]), label, "score").first()[0]
+        train, test = vectors(k)
+        model = Booster(params_json=json.dumps(asdict(B.with_config(base, family, params))), idCol=id_col).fit(train)
+        return MT.roc_auc(TR.predict_proba(model, test, ["label"]), "label", "score").first()[0]
 
     return objective
+
+
+def tune_family(dev: DataFrame, family: str, cfg=None, *, n_trials: int = N_TRIALS, timeout_s: float = TIMEOUT_SECONDS, batch: int = 2,
+                space: Sequence[Dim] | None = None, **kw) -> tuple[DataFrame, dict]:
+    """Adaptive search of a family over its ranges: the trials table, and the best trial with what the study has spent."""
+    from riskmart.operators import training as TR
+
+    cfg = cfg or TR.ModelConfig()
+    trials = run_study(dev.sparkSession, family_objective(dev, family, cfg, **kw), space or SPACES[family], n_trials=n_trials, n_folds=cfg.n_folds,
+                       seed=cfg.seed, batch=batch, timeout_s=timeout_s)
+    whole = [t for t in trials if t.value is not None and not t.pruned]
+    best = max(whole, key=lambda t: (t.value, -t.number), default=None)
+    return trials_table(dev.sparkSession, trials), {
+        "trial": best and best.number, "params": best and best.params, "cv_auc_mean": best and best.value, "tried": len(trials),
+        "pruned": sum(t.pruned for t in trials), "folds_saved": sum(t.saved for t in trials), "stopped_early": len(trials) < n_trials}

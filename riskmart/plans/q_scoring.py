@@ -173,7 +173,7 @@ def _band_sql(p: str, field: int) -> str:
 
 
 def _rec_sql(p: str) -> str:
-    parts = " ".join(f"WHEN {p} < {cut!r} THEN '{name}'" for cut, name, _ in X.RECOMMENDATIONS if cut is not None)
+    parts = " ".join(f"WHEN {p} < {cut!r} THEN '{name}'" for cut, name in X.RECOMMENDATIONS if cut is not None)
     return f"CASE {parts} ELSE '{X.RECOMMENDATIONS[-1][1]}' END"
 
 

@@ -211,3 +211,16 @@ def test_failing_trials_are_recorded(spark):
     best = ST.best_trial(table.select("trial", "cv_auc_mean")).first()
     assert best["cv_auc_mean"] == max(t.value for t in trials if t.value is not None)
     assert ST.best_trial(table.where("false").select("trial", "cv_auc_mean")).count() == 0
+
+
+def test_tune_family(spark):
+    from riskmart.operators import training as TR
+
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 2))
+    rows = [(i, int(x[i, 0] + 0.3 * rng.normal() > 0.8), float(x[i, 0]), float(x[i, 1]), "fm"[i % 2]) for i in range(300)]
+    dev = spark.createDataFrame(rows, "SK_ID_CURR long, TARGET int, a double, b double, CODE_GENDER string")
+    space = (Dim("n_estimators", 1, 2, "int"), Dim("learning_rate", 0.2, 0.6, "log"), Dim("max_depth", 1, 2, "int"), Dim("reg_lambda", 0.1, 2.0, "log"))
+    table, best = ST.tune_family(dev, "xgboost", TR.ModelConfig(n_folds=2), n_trials=2, space=space)
+    assert best["tried"] == 2 and not best["stopped_early"] and table.count() == 2
+    assert best["cv_auc_mean"] == table.agg(F.max("cv_auc_mean")).first()[0] > 0.9
