@@ -1,17 +1,16 @@
 """X-2 (trees): interventional Shapley contributions for Spark ML tree ensembles.
 
 For one tree, one explained row ``x`` and one background row ``z``, the Shapley value of the
-"replace z's features by x's" game is exact by one traversal: where x and z take the same branch
-nothing changes; where they split, the path that follows x adds the feature to the x-set and the
-path that follows z adds it to the z-set (a feature already assigned keeps its side). A leaf value
-v reached with sets (Sx, Sz) adds v * |Sx|-1! |Sz|! / (|Sx|+|Sz|)! to each feature of Sx and
-subtracts v * |Sx|! |Sz|-1! / (|Sx|+|Sz|)! from each feature of Sz. Averaging over the background
-gives the interventional values; they add up to f(x) - mean f(z) exactly.
+"replace z's features by x's" game is a sum over leaves: with Sx the features of the leaf's path whose
+conditions only x meets and Sz those that only z meets (a leaf with a feature that neither meets adds
+nothing), a leaf value v adds v * |Sx|-1! |Sz|! / (|Sx|+|Sz|)! to each feature of Sx and subtracts
+v * |Sx|! |Sz|-1! / (|Sx|+|Sz|)! from each feature of Sz. Averaging over the background gives the
+interventional values; they add up to f(x) - mean f(z) exactly.
 
 Distribution: the node tables come from the saved model (bounded by trees x 2^(depth+1) nodes) and
 the background is a bounded sample (100 rows); both travel with the task closure. The rows to
 explain are processed by ``mapInPandas``; each Arrow batch shares one traversal per tree, vectorised
-over (row, background row) pairs, so the work spreads over the cluster like any other projection.
+over its rows, so the work spreads over the cluster like any other projection.
 """
 
 from __future__ import annotations
@@ -90,53 +89,62 @@ def _tree_shap(t: dict, x: np.ndarray, Z: np.ndarray, phi: np.ndarray, scale: fl
     phi += out[0]
 
 
+def _shares(pats: np.ndarray, zpats: np.ndarray, zcounts: np.ndarray, d: int, by_x: np.ndarray, by_z: np.ndarray) -> np.ndarray:
+    """Per pattern of ``pats`` and path feature: the sum over the background's patterns of the Shapley weights of a leaf of
+    value 1. Bit j of a pattern: the row meets the path's conditions on its j-th feature."""
+    bit = np.arange(d)
+    xb = ((pats[:, None] >> bit) & 1).astype(float)
+    zb = ((zpats[:, None] >> bit) & 1).astype(float)
+    i, j = np.nonzero((pats[:, None] | zpats[None, :]) == (1 << d) - 1)      # for other pairs neither side's value leads to the leaf
+    nx, nz = d - zb.sum(axis=1).astype(np.int64)[j], d - xb.sum(axis=1).astype(np.int64)[i]
+    of_x, of_z = np.zeros((2, len(pats), len(zpats)))
+    of_x[i, j], of_z[i, j] = zcounts[j] * by_x[nx, nz], zcounts[j] * by_z[nx, nz]
+    return xb * (of_x @ (1 - zb)) - (1 - xb) * (of_z @ zb)
+
+
 def _tree_shap_batch(t: dict, X: np.ndarray, Z: np.ndarray, phi: np.ndarray, scale: float) -> None:
     """Batch form: ``phi[r]`` += scale * mean over background rows of the Shapley values of row r.
 
-    The traversal is shared by all (row, background) pairs: a recursion state is (node, x-set,
-    z-set) and carries the boolean matrix of pairs whose paths reach it, so one walk of the tree
-    serves a whole batch."""
+    One walk over the nodes carries, for every row and background row, the pattern of path features whose conditions it
+    meets. What a pair contributes at a leaf depends on its two patterns alone, so a leaf costs a lookup per row and path
+    feature, and a small product over the patterns found there: time grows with nodes times rows, not with the sets of
+    features that a path can be split into."""
     nz = Z.shape[0]
     feat, thr, left, right, value = t["feature"], t["threshold"], t["left"], t["right"], t["value"]
-
-    def rec(node: int, mask: np.ndarray, sx: tuple, sz: tuple) -> None:
-        if not mask.any():
+    depth = 64
+    by_x, by_z = np.zeros((depth, depth)), np.zeros((depth, depth))
+    for i in range(depth):
+        for j in range(depth - i):
+            if i:
+                by_x[i, j] = _weight(i - 1, j)
+            if j:
+                by_z[i, j] = _weight(i, j - 1)
+
+    def leaf(node: int, path: tuple, x: np.ndarray, z: np.ndarray) -> None:
+        d = len(path)
+        if not d or value[node] == 0:
             return
+        pats, at = np.unique(x, return_inverse=True)
+        zpats, zcounts = np.unique(z, return_counts=True)
+        table = _shares(pats, zpats, zcounts, d, by_x, by_z) * (value[node] * scale / nz)
+        for j, f in enumerate(path):
+            phi[:, f] += table[at, j]
+
+    stack = [(t["root"], (), np.zeros(X.shape[0], dtype=np.int64), np.zeros(nz, dtype=np.int64))]
+    while stack:
+        node, path, x, z = stack.pop()
         if left[node] < 0:
-            a, b = len(sx), len(sz)
-            share = mask.sum(axis=1) * (value[node] * scale / nz)
-            if a:
-                w = share * _weight(a - 1, b)
-                for f in sx:
-                    phi[:, f] += w
-            if b:
-                w = share * _weight(a, b - 1)
-                for f in sz:
-                    phi[:, f] -= w
-            return
-        f = feat[node]
-        xl = (X[:, f] <= thr[node])[:, None]
-        zl = (Z[:, f] <= thr[node])[None, :]
-        lft, rgt = left[node], right[node]
-        if f in sx:      # feature already taken from x: follow x
-            rec(lft, mask & xl, sx, sz)
-            rec(rgt, mask & ~xl, sx, sz)
-            return
-        if f in sz:      # feature already taken from z: follow z
-            rec(lft, mask & zl, sx, sz)
-            rec(rgt, mask & ~zl, sx, sz)
-            return
-        rec(lft, mask & xl & zl, sx, sz)          # both go left
-        rec(rgt, mask & ~xl & ~zl, sx, sz)        # both go right
-        differ = mask & (xl != zl)
-        if differ.any():
-            sx2, sz2 = sx + (f,), sz + (f,)
-            rec(lft, differ & xl, sx2, sz)        # follow x where x goes left
-            rec(rgt, differ & ~xl, sx2, sz)       # follow x where x goes right
-            rec(lft, differ & zl, sx, sz2)        # follow z where z goes left
-            rec(rgt, differ & ~zl, sx, sz2)       # follow z where z goes right
-
-    rec(t["root"], np.ones((X.shape[0], nz), dtype=bool), (), ())
+            leaf(node, path, x, z)
+            continue
+        f = int(feat[node])
+        xl, zl = X[:, f] <= thr[node], Z[:, f] <= thr[node]
+        for child, xc, zc in ((left[node], xl, zl), (right[node], ~xl, ~zl)):
+            if f in path:                                            # a further condition on a feature of the path
+                lost = 1 << path.index(f)
+                stack.append((child, path, np.where(xc, x, x & ~lost), np.where(zc, z, z & ~lost)))
+            else:
+                d = len(path)
+                stack.append((child, path + (f,), x | (xc.astype(np.int64) << d), z | (zc.astype(np.int64) << d)))
 
 
 def _predict_batch(trees: list[dict], weights: np.ndarray, X: np.ndarray) -> np.ndarray:

@@ -218,3 +218,19 @@ def test_csv_tables_build_the_same_master(spark, scratch):
     for x, y in zip(a, b):
         assert x[:6] == y[:6]
         assert (x[6] is None and y[6] is None) or abs(x[6] - y[6]) < 1e-12
+
+
+def test_tree_shap_of_a_deep_tree_takes_one_walk():
+    """A depth-8 tree over many features: contributions add up for every row, in a walk over the nodes (by sets of path
+    features it took 3^8 masks a leaf)."""
+    import time
+
+    rng = np.random.default_rng(2)
+    n, inner = 2 ** 9 - 1, np.arange(2 ** 9 - 1) < 2 ** 8 - 1
+    t = {"feature": np.where(inner, rng.integers(0, 60, n), -1), "threshold": rng.normal(size=n) / 2, "value": rng.normal(size=n), "root": 0,
+         "left": np.where(inner, 2 * np.arange(n) + 1, -1), "right": np.where(inner, 2 * np.arange(n) + 2, -1)}
+    X, Z, phi = rng.normal(size=(1000, 60)), rng.normal(size=(100, 60)), np.zeros((1000, 60))
+    t0 = time.monotonic()
+    TA._tree_shap_batch(t, X, Z, phi, 0.5)
+    assert time.monotonic() - t0 < 8
+    assert np.allclose(phi.sum(axis=1), 0.5 * (TA._predict_tree(t, X) - TA._predict_tree(t, Z).mean()), atol=1e-12)
