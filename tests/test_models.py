@@ -234,3 +234,17 @@ def test_tree_shap_of_a_deep_tree_takes_one_walk():
     TA._tree_shap_batch(t, X, Z, phi, 0.5)
     assert time.monotonic() - t0 < 8
     assert np.allclose(phi.sum(axis=1), 0.5 * (TA._predict_tree(t, X) - TA._predict_tree(t, Z).mean()), atol=1e-12)
+
+
+def test_the_split_is_read_from_few_written_parts(spark):
+    from riskmart.operators import training as TR
+    from riskmart.plans import q_training as Q
+
+    dev, test = Q._split_master(spark, "/root/testdata/sf0.001")
+    for df in (dev, test):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and "Aggregate" not in plan and df.inputFiles()
+    assert dev.count() + test.count() == spark.read.parquet("/root/testdata/sf0.001/customer.parquet").where("c_custkey % 97 <> 0").count()
+    df = spark.range(9000).repartition(50)
+    many = TR.spread(df, "id", "spread")
+    assert len(many.inputFiles()) == 5 and sorted(r.id for r in many.collect()) == list(range(9000))
