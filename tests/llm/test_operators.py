@@ -162,6 +162,20 @@ def test_line_dedup_links_every_pair_of_a_bucket(spark, monkeypatch):
         assert sorted(map(sorted, groups.values())) == [[i, i + 60] if i < 20 else [i] for i in range(60)]
 
 
+def test_line_dedup_loses_no_pair_at_the_threshold(spark, monkeypatch):
+    """Lines of 39 characters that differ in one: 30 of 40 shingles in common, which the bands alone miss now and then."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(300):
+        x = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=39))
+        rows += [(2 * i, x), (2 * i + 1, f"{x[:19]}#{x[20:]}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk in (512, 1):
+        monkeypatch.setattr(line_dedup, "CHUNK", chunk)
+        by = {r.doc_id: r.component for r in line_dedup.line_duplicates(docs).collect()}
+        assert [i for i in range(300) if by[2 * i] != by[2 * i + 1]] == [] and len(set(by.values())) == 300
+
+
 def test_line_dedup_sees_the_ends_of_long_words(spark):
     rng = random.Random(6)
     raw = lambda: " " * 12 + '"data:image/' + "".join(rng.choices("abcdefghijklmnop0123456789", k=160))
