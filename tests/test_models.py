@@ -248,3 +248,12 @@ def test_the_split_is_read_from_few_written_parts(spark):
     df = spark.range(9000).repartition(50)
     many = TR.spread(df, "id", "spread")
     assert len(many.inputFiles()) == 5 and sorted(r.id for r in many.collect()) == list(range(9000))
+
+
+def test_a_counted_table_is_written_once(spark, monkeypatch):
+    from riskmart.operators import training as TR
+
+    calls = []
+    monkeypatch.setattr(TR, "written", lambda df, name, _w=TR.written: calls.append(name) or _w(df, name))
+    out = TR.spread(spark.range(9000).repartition(50), "id", "spread", 9000)
+    assert calls == ["spread"] and len(out.inputFiles()) == 5 and sorted(r.id for r in out.collect()) == list(range(9000))
