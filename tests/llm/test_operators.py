@@ -1,6 +1,8 @@
 """The training-data operators against brute force, and on odd rows (nulls, empty, long, repeated, clashing names)."""
 
 import collections
+import os
+import pathlib
 import random
 import re
 import zlib
@@ -176,6 +178,34 @@ def test_line_dedup_loses_no_pair_at_the_threshold(spark, monkeypatch):
         assert [i for i in range(300) if by[2 * i] != by[2 * i + 1]] == [] and len(set(by.values())) == 300
 
 
+def test_line_dedup_links_lines_of_different_blocks(spark, monkeypatch):
+    """The exact pass alone, by small blocks: lines short and long, next to each other in size or not, against all pairs."""
+    rng = random.Random(9)
+    lines = ["x", "xy", "abcabcabcabc", "abcabcabc"]
+    for size in (8, 20, 39, 40, 41, 150, 400, 1500):
+        x = "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=size))
+        lines += [x, f"{x[:size // 2]}#{x[size // 2 + 1:]}", x[:size * 4 // 5], f"{x}{x[:size // 6]}!", x[size // 2:] + x[:size // 2], x[:size // 2]]
+    lines = sorted(set(lines))
+    sets = [{x[p:p + 5] for p in range(max(1, len(x) - 4))} for x in lines]
+    want = {tuple(sorted((i, j))) for i in range(len(lines)) for j in range(i) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+    rows = line_dedup.lines_of(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")).cache()
+    ids = {r.line_id: r.doc_id for r in rows.collect()}
+    for block in (4096, 7):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        got = line_dedup._missed(rows, rows.select("line_id", F.col("doc_id").alias("first_doc")), None).collect()
+        assert len(want) > 15 and sorted(tuple(sorted((ids[r.a], ids[r.b]))) for r in got) == sorted(want)
+
+
+def test_line_dedup_writes_little(spark):
+    """All that line dedup writes to the shared folder, against its input: the pass by shingle prefixes wrote more than ten times as much."""
+    rows = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    root = pathlib.Path(scratch(spark, "x")).parent
+    size = lambda: sum(p.stat().st_size for p in root.rglob("*.parquet"))
+    before = size()
+    line_dedup.line_duplicates(rows)
+    assert size() - before <= 5 * sum(os.path.getsize(p.removeprefix("file://")) for p in rows.inputFiles())
+
+
 def test_line_dedup_sees_the_ends_of_long_words(spark):
     rng = random.Random(6)
     raw = lambda: " " * 12 + '"data:image/' + "".join(rng.choices("abcdefghijklmnop0123456789", k=160))
