@@ -108,8 +108,9 @@ def search_input(master: DataFrame, threshold: float = R.HIGH_MISSING_THRESHOLD)
 def run_search(dev: DataFrame, n_trials: int = N_TRIALS, timeout_s: float = TIMEOUT_SECONDS,
                space: Sequence[Dim] = BOOSTED_SPACE, cfg: TR.ModelConfig | None = None, parallelism: int = 8,
                label: str = "TARGET", id_col: str = "SK_ID_CURR", chunk: int = 8) -> tuple[DataFrame, dict]:
-    """Trials table ``(trial, params, cv_auc_mean, cv_auc_std, n_folds, seconds)`` and the best trial, which
-    also tells how many of the candidates were tried and whether the time budget ended the search.
+    """Trials table ``(trial, params, cv_auc_mean, cv_auc_std, n_folds, seconds, error)`` and the best trial, which
+    also tells how many of the candidates were tried and whether the time budget ended the search. A candidate with a failed fold
+    has no mean and is never the best; if all have failed, that is raised.
 
     Candidates are evaluated in chunks through :func:`training.cross_validate`: the preprocessing
     is fitted once per fold for the whole chunk and every (candidate, fold) fit runs concurrently.
@@ -126,18 +127,21 @@ def run_search(dev: DataFrame, n_trials: int = N_TRIALS, timeout_s: float = TIME
         t0 = time.monotonic()
         batch = {f"trial_{i}": boosted_estimator(cands[i], weight, cfg.seed, rows=fit_rows)
                  for i in range(start, min(start + chunk, len(cands)))}
-        scores = TR.cross_validate(dev, cfg, label, id_col, parallelism=parallelism, models=batch)
+        scores = TR.cross_validate(dev, cfg, label, id_col, parallelism=parallelism, models=batch, report=True)
         per = {r["model"]: r for r in scores.groupBy("model").agg(
-            F.avg("auc").alias("m"), F.stddev_pop("auc").alias("s"), F.count("auc").alias("n")).collect()}
+            F.avg("auc").alias("m"), F.stddev_pop("auc").alias("s"), F.count("auc").alias("n"), F.min("error").alias("error")).collect()}
         spent = round((time.monotonic() - t0) / len(batch), 3)
         for name in batch:
             i = int(name.split("_")[1])
             r = per.get(name)
-            rows.append((i, json.dumps(cands[i], sort_keys=True), r["m"] if r else None, r["s"] if r else None,
-                         int(r["n"]) if r else 0, spent))
+            whole = r and r["error"] is None
+            rows.append((i, json.dumps(cands[i], sort_keys=True), r["m"] if whole else None, r["s"] if whole else None,
+                         int(r["n"]) if r else 0, spent, r["error"] if r else None))
+    if rows and all(r[2] is None for r in rows):
+        raise TR.FoldError(f"none of {len(rows)} candidates has a value; trial {rows[0][0]}: {rows[0][-1]}")
     spark = dev.sparkSession
     trials = spark.createDataFrame(rows, "trial int, params string, cv_auc_mean double, cv_auc_std double, "
-                                         "n_folds int, seconds double")
+                                         "n_folds int, seconds double, error string")
     best = trials.agg(F.max_by(F.struct("trial", "params", "cv_auc_mean"),
                                F.struct(F.coalesce("cv_auc_mean", F.lit(-1.0)), -F.col("trial"))).alias("b")).first()["b"]
     return trials, {"trial": best["trial"], "params": json.loads(best["params"]), "cv_auc_mean": best["cv_auc_mean"],

@@ -257,3 +257,29 @@ def test_a_counted_table_is_written_once(spark, monkeypatch):
     monkeypatch.setattr(TR, "written", lambda df, name, _w=TR.written: calls.append(name) or _w(df, name))
     out = TR.spread(spark.range(9000).repartition(50), "id", "spread", 9000)
     assert calls == ["spread"] and len(out.inputFiles()) == 5 and sorted(r.id for r in out.collect()) == list(range(9000))
+
+
+def test_a_failed_fold_is_no_result(spark):
+    """A fit that fails in one fold, or a held-out fold of one class: cross-validation raises, a mean of the other folds is no result."""
+    from pyspark.ml.classification import LogisticRegression
+    from riskmart.operators import training as TR
+
+    class Fails(LogisticRegression):
+        def _fit(self, df):
+            if df.where("SK_ID_CURR = 7").isEmpty():
+                raise ValueError("no fit without row 7")
+            return super()._fit(df)
+
+    rng = np.random.default_rng(3)
+    rows = [(i, int(i % 3 == 0), float(i % 3 == 0), float(rng.normal() + i % 3)) for i in range(90)]
+    dev = spark.createDataFrame(rows, "SK_ID_CURR long, TARGET int, label double, x double")
+    cfg, models = TR.ModelConfig(n_folds=3), {"fails": Fails(maxIter=3), "works": LogisticRegression(maxIter=3)}
+    with pytest.raises(TR.FoldError, match="1 of 6 folds.*fails, fold .*no fit without row 7"):
+        TR.cross_validate(dev, cfg, models=models)
+    table = TR.comparison_table(TR.cross_validate(dev, cfg, models=models, report=True))
+    got = {r["model"]: r for r in table.collect()}
+    assert got["works"]["n_folds"] == 3 and got["works"]["is_best"] == 1 and got["works"]["cv_auc_mean"] is not None
+    assert [got["fails"][c] for c in ("cv_auc_mean", "cv_auc_std", "cv_auc_min", "cv_auc_max", "n_folds", "position")] == [None] * 4 + [2, 2]
+    one = dev.where("TARGET = 0 OR SK_ID_CURR = 3")                     # a single positive row: two folds hold none
+    with pytest.raises(TR.FoldError, match="both classes"):
+        TR.cross_validate(one, cfg, models={"works": LogisticRegression(maxIter=3)})
