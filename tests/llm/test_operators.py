@@ -206,6 +206,17 @@ def test_line_dedup_writes_little(spark):
     assert size() - before <= 5 * sum(os.path.getsize(p.removeprefix("file://")) for p in rows.inputFiles())
 
 
+def test_line_dedup_leaves_little(spark):
+    """What line dedup leaves in the shared folder when its result stands: the groups and the links' components, no table that nothing reads any more."""
+    rows = spark.read.parquet(f"{SF.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text")
+    root = pathlib.Path(scratch(spark, "x")).parent
+    size = lambda: sum(p.stat().st_size for p in root.rglob("*.parquet"))
+    before = size()
+    out = line_dedup.line_duplicates(rows)
+    assert size() - before <= 0.5 * sum(os.path.getsize(p.removeprefix("file://")) for p in rows.inputFiles())
+    assert out.count() == line_dedup.lines_of(rows).count()
+
+
 def test_line_dedup_sees_the_ends_of_long_words(spark):
     rng = random.Random(6)
     raw = lambda: " " * 12 + '"data:image/' + "".join(rng.choices("abcdefghijklmnop0123456789", k=160))
